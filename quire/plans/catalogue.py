@@ -1,0 +1,4 @@
+"""All queries of the library proper, and their SQL."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
