@@ -36,6 +36,7 @@ def merge_runs(batches: Iterator[pa.RecordBatch], largest: bool) -> Iterator[pa.
     for batch in batches:
         if not batch.num_rows:
             continue
+        batch = pa.RecordBatch.from_arrays(batch.columns, names=batch.schema.names)
         if carry is not None:
             batch = pa.Table.from_batches([carry, batch]).combine_chunks().to_batches()[0]
         node = batch["node"].to_numpy()
