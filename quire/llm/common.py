@@ -162,3 +162,75 @@ def signed(h: np.ndarray) -> np.ndarray:
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Rows dealt by columns over spark.sql.shuffle.partitions, for a Python stage of much work per byte."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
+class Sieve:
+    """A set of 64-bit keys as bits: no false negatives. 16 bits a key, at most ``MOST`` bits (8 MB) whatever the number of keys."""
+
+    MOST = 1 << 26
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.mask = bits, np.uint64(len(bits) * 64 - 1)
+
+    def __contains__(self, key: int) -> bool:
+        return bool(self.has(np.array([key]))[0])
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = mix(keys.view(np.uint64)) & self.mask
+        return (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def sieve(keys: DataFrame, col: str) -> Sieve:
+    """Of a column of longs; made on the executors, so that only its bits reach the driver."""
+    size = 1 << 10
+    n = keys.count()
+    while size < min(16 * n, Sieve.MOST):
+        size *= 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size // 64, np.uint64)
+        for batch in batches:
+            at = mix(batch["k"].to_numpy(zero_copy_only=False).view(np.uint64)) & np.uint64(size - 1)
+            np.bitwise_or.at(bits, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+        at = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(signed(bits[at]))], names=["at", "bits"])
+
+    got = keys.select(F.col(col).alias("k")).mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(size // 64, np.int64)
+    bits[got["at"].to_numpy()] = got["bits"].to_numpy()
+    return Sieve(bits.view(np.uint64))
+
+
+LANES = 64
+
+
+def lane(col: str = "doc_id") -> Column:
+    return F.pmod(F.xxhash64(col), F.lit(LANES)).cast("int").alias("lane")
+
+
+def lane_groups(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """df has lane. (lane, keys) of every lane that holds a group of several rows; keys with first (smallest value) and members (rows) of those groups.
+
+    Both grow with groups times lanes at most, and a key that a third of all rows share is LANES rows, so a join of df with
+    them by lane and keys is even.
+    """
+    runs = df.groupBy("lane", *keys).agg(F.min(value).alias("first"), F.count("*").alias("members"))
+    groups = runs.groupBy(*keys).agg(F.min("first").alias("first"), F.sum("members").alias("members")).where("members > 1")
+    return runs.select("lane", *keys), groups
+
+
+def components(links: DataFrame) -> DataFrame:
+    """links (a, b) of longs to (id, c): the smallest identifier that each linked one reaches.
+
+    Smallest labels spread along links and are then shortened by pointer jumping; each round is a written table.
+    """
+    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("c")))
+    while True:
+        near = both.join(labels, both["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
+        better = written(labels.join(near, "id").select("id", F.least("c", "m").alias("c"), F.col("c").alias("was")))
+        up = better.select(F.col("id").alias("i"), F.col("c").alias("up"))
+        jumped = written(better.join(up, better["c"] == up["i"], "left").select("id", F.least("c", F.coalesce("up", "c")).alias("c"), "was"))
+        labels = jumped.select("id", "c")
+        if jumped.where("c <> was").isEmpty():
+            return labels
