@@ -140,9 +140,9 @@ class Rolling:
         return mix((self.sums[k:] - self.sums[:n]) * self.down[:n])
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word ``[^\\x20\\x09-\\x0D]+`` of a block."""
-    inside = ~SPACE[buf]
+def words(buf: np.ndarray, off: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each word ``[^\\x20\\x09-\\x0D]+`` of a block. between: which bytes are in no word."""
+    inside = ~between[buf]
     n = len(buf)
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("class_lm", "exact_dedup", "jaccard_join", "mixing", "language_id", "token_count")
+MODULES = ("class_lm", "toxicity", "mixing", "decontaminate", "language_id", "token_count", "jaccard_join", "exact_dedup")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
