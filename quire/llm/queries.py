@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("class_lm", "suffix_dedup", "toxicity", "mixing", "decontaminate", "language_id", "token_count", "jaccard_join", "exact_dedup")
+MODULES = ("warc", "class_lm", "suffix_dedup", "toxicity", "mixing", "decontaminate", "language_id", "token_count", "jaccard_join", "exact_dedup")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
