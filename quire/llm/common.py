@@ -88,6 +88,12 @@ def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.
         i = j
 
 
+def pieces(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """A batch as slices of at most limit bytes of a column, or one longer row."""
+    for i, j, _, _ in blocks(batch[column], limit):
+        yield batch.slice(i, j - i)
+
+
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     space = np.zeros(256, bool)
     space[[0x20, *range(9, 14)]] = True

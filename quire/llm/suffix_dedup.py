@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import SALT, Rolling, arrays, blocks, given_id, mix, sieve, signed, table, with_id, written
+from quire.llm.common import SALT, Rolling, arrays, blocks, given_id, mix, pieces, sieve, signed, table, with_id, written
 
 LENGTH, GRAM = 100, 24
-SHARD_CONTEXTS, SHARD_BYTES = 4096, 1 << 22
+SHARD_CONTEXTS, SHARD_BYTES, PIECE = 1024, 1 << 22, 1 << 23
 _SECOND = mix(SALT)
 
 
@@ -69,7 +69,13 @@ def batch_anchors(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         parts.append((row + i, start, n, h, c))
     row, start, n, h, c = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 5
     ids = batch["doc_id"].to_numpy()[row]
-    order = np.lexsort((start, ids, c, h))
+    order = np.argsort(mix(h) + c, kind="stable")
+    key = (mix(h) + c)[order]
+    alike = np.zeros(len(key) + 1, bool)
+    alike[1:-1] = key[1:] == key[:-1]
+    several = np.flatnonzero(alike[1:] | alike[:-1])  # only these need their order by place
+    part = order[several]
+    order[several] = part[np.lexsort((start[part], ids[part], c[part], h[part], key[several]))]
     row, start, n, h, c, ids = (x[order] for x in (row, start, n, h, c, ids))
     first = np.ones(len(h), bool)
     first[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
@@ -79,12 +85,11 @@ def batch_anchors(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
 
 def firsts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                row, start, n, h, c, again = batch_anchors(batch)
-                keep = ~again
-                ids = batch["doc_id"].to_numpy()[row[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h[keep])), pa.array(signed(c[keep])), pa.array(ids), pa.array(start[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32))], names=["h", "c", "doc_id", "start", "n"])
+        for batch in (p for b in batches for p in pieces(b, "text", PIECE)):
+            row, start, n, h, c, again = batch_anchors(batch)
+            keep = ~again
+            ids = batch["doc_id"].to_numpy()[row[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h[keep])), pa.array(signed(c[keep])), pa.array(ids), pa.array(start[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32))], names=["h", "c", "doc_id", "start", "n"])
 
     return docs.mapInArrow(run, "h long, c long, doc_id long, start int, n int")
 
@@ -95,9 +100,7 @@ def second_reading(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     names = ["h", "doc_id", "start", "n", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (p for b in batches for p in pieces(b, "text", PIECE)):
             row, start, n, h, _, again = batch_anchors(batch)
             ids = batch["doc_id"].to_numpy()
             order = np.flatnonzero(again)
