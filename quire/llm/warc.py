@@ -28,7 +28,7 @@ from pyspark.sql.types import StructType
 
 from quire.llm.common import NO_ID, lane, lane_groups, shared_dir, table, with_id, written
 
-ROLL, SPLIT = 64 << 20, 64 << 20
+ROLL, SPLIT = 64 << 20, 8 << 20
 MANIFEST = "manifest.json"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, payload_bytes long, payload binary, headers map<string,string>"
