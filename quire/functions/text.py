@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 # Characters that are dropped, and spaces that become a plain one.
 DROPPED = "".join(map(chr, [*range(0, 9), 11, 12, *range(14, 32), 127, 0x200B, 0x2060, 0xFEFF]))
@@ -42,7 +43,7 @@ def letter_spaced(t: Column) -> Column:
     return t.rlike(r"^\p{Lu}( \p{Lu}){4,}$")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(Y.StringType())
 def title_sort_key(t: pd.Series) -> pd.Series:
     """Compatibility-decomposed, case-folded, without accents, punctuation and a leading article."""
 
@@ -56,7 +57,7 @@ def title_sort_key(t: pd.Series) -> pd.Series:
     return t.map(key)
 
 
-@F.pandas_udf("array<struct<n:bigint,s:string>>")
+@F.pandas_udf(Y.ArrayType(Y.StructType().add("n", Y.LongType()).add("s", Y.StringType())))
 def natural_key(t: pd.Series) -> pd.Series:
     """Digits by value, other text case-folded: page 2 before page 10."""
 
@@ -103,11 +104,13 @@ def decode_bytes(data: bytes, declared: str | None = None) -> tuple[str, str]:
         lower = sum(c.islower() for c in high)
         mixed = len(re.findall(r"[a-zа-яё][A-ZА-ЯЁ]", text))
         score = (inside + 0.5 * lower - 2 * mixed) / max(len(high), 1) + (0.3 if len(high) * 2 > len(text) and name not in ("cp1252", "cp1250", "cp1254") else 0)
+        if name == "shift_jis" and inside * 4 > len(high):
+            score += 1  # a quarter of kana is Japanese, whatever else the bytes may spell
         if score > best[2]:
             best = (text, name, score)
     return (best[0], best[1]) if best[2] > float("-inf") else (data.decode("cp1252", "replace"), "cp1252")
 
 
-@F.pandas_udf("text string, encoding string")
+@F.pandas_udf(Y.StructType().add("text", Y.StringType()).add("encoding", Y.StringType()))
 def decoded(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([decode_bytes(bytes(x)) if x is not None else (None, None) for x in data], columns=["text", "encoding"])

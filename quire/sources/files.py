@@ -19,6 +19,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 from quire.functions.html import blocks_of
 from quire.functions.text import decode_bytes
@@ -419,6 +420,6 @@ def picture(data: bytes) -> tuple[str, int, int, bool] | None:
     return None
 
 
-@F.pandas_udf("kind string, width int, height int, alpha boolean")
+@F.pandas_udf(Y.StructType().add("kind", Y.StringType()).add("width", Y.IntegerType()).add("height", Y.IntegerType()).add("alpha", Y.BooleanType()))
 def sniff_picture(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([picture(bytes(x)) or (None,) * 4 if x is not None else (None,) * 4 for x in data], columns=["kind", "width", "height", "alpha"]).astype({"width": "Int32", "height": "Int32"})
