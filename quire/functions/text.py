@@ -102,7 +102,7 @@ def decode_bytes(data: bytes, declared: str | None = None) -> tuple[str, str]:
         high = [c for c in text if ord(c) > 127]
         inside = sum(ord(c) in own for c in high)
         lower = sum(c.islower() for c in high)
-        mixed = len(re.findall(r"[a-zа-яё][A-ZА-ЯЁ]", text))
+        mixed = len(re.findall(r"[a-zа-яё][A-ZА-ЯЁ]|[A-Za-z][\u0370-\u04ff]|[\u0370-\u04ff][A-Za-z]", text))  # no word has two alphabets
         score = (inside + 0.5 * lower - 2 * mixed) / max(len(high), 1) + (0.3 if len(high) * 2 > len(text) and name not in ("cp1252", "cp1250", "cp1254") else 0)
         if name == "shift_jis" and inside * 4 > len(high):
             score += 1  # a quarter of kana is Japanese, whatever else the bytes may spell
