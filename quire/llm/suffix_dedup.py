@@ -123,8 +123,8 @@ def second_reading(docs: DataFrame, frequent: DataFrame) -> DataFrame:
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """The suffixes in order. Sorted wholly, past LENGTH too: Kasai's rule holds in a full order only."""
     n = len(text)
-    wide = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(4, np.uint64)])
-    key = (wide[:n] << np.uint64(27)) | (wide[1 : n + 1] << np.uint64(18)) | (wide[2 : n + 2] << np.uint64(9)) | wide[3 : n + 3]
+    wide = np.concatenate([text.astype(np.uint64) & np.uint64(0xFFFF), np.zeros(4, np.uint64)])
+    key = (wide[:n] << np.uint64(48)) | (wide[1 : n + 1] << np.uint64(32)) | (wide[2 : n + 2] << np.uint64(16)) | wide[3 : n + 3]
     order = np.argsort(key, kind="stable")
     new = np.ones(n, bool)
     new[1:] = key[order[1:]] != key[order[:-1]]
@@ -157,7 +157,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, start: np.ndarray, leng
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     out = np.zeros(n, np.int64)
-    padded = np.concatenate([text.astype(np.int16), np.full(most + 1, -1, np.int16)])
+    padded = np.concatenate([text.astype(np.int32), np.full(most + 1, -1, np.int32)])
     by = np.argsort(-length, kind="stable")
     start, length = start[by], length[by]
     common = np.zeros(len(start), np.int64)
@@ -181,14 +181,26 @@ def _shard(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     t = pa.Table.from_batches(rows).combine_chunks()
     t = t.to_batches()[0]
     text, off = arrays(t["bytes"])
+    ids, start = t["doc_id"].to_numpy(), t["start"].to_numpy()
+    # of equal contexts the first one speaks for all: the others' windows are known to repeat
+    one, two = (Rolling(text, x).of(off[:-1], off[1:]) for x in (SALT, _SECOND))
+    by = np.lexsort((start, ids, two, one))
+    head = np.ones(len(by), bool)
+    head[1:] = (one[by[1:]] != one[by[:-1]]) | (two[by[1:]] != two[by[:-1]])
+    t = t.take(pa.array(np.sort(by[head])))
+    text, off = arrays(t["bytes"])
     ids, start, n, wide = (t[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "start", "n", "wide"))
-    order = suffix_array(text)
-    shared = common_prefixes(text, order, off[:-1].copy(), np.diff(off), LENGTH)[order]
+    # a sign of its own ends each context, so no match runs on into the next
+    pieces_ = np.arange(len(n))
+    signs = np.insert(text.astype(np.uint32) + 1, off[1:], (257 + pieces_ % 65000).astype(np.uint32))
+    begin = off[:-1] + pieces_
+    order = suffix_array(signs)
+    shared = common_prefixes(signs, order, begin, np.diff(off) + 1, LENGTH)[order]
     kind = np.cumsum(shared < LENGTH)  # class of equal LENGTH-byte prefixes, in order
-    piece = np.searchsorted(off, order, "right") - 1
-    inside = order - off[piece]
+    piece = np.searchsorted(begin, order, "right") - 1
+    inside = order - begin[piece]
     own = inside < n[piece]
-    kind, piece, place, byte = kind[own], piece[own], (start[piece] + inside)[own], order[own]
+    kind, piece, place, byte = kind[own], piece[own], (start[piece] + inside)[own], (off[piece] + inside)[own]
     doc = ids[piece]
     by = np.lexsort((place, doc, kind))
     kind, piece, place, byte, doc = (x[by] for x in (kind, piece, place, byte, doc))
