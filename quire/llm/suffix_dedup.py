@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import SALT, Rolling, arrays, blocks, given_id, mix, pieces, sieve, signed, table, with_id, written
 
 LENGTH, GRAM = 100, 24
-SHARD_CONTEXTS, SHARD_BYTES, PIECE = 1024, 1 << 22, 1 << 23
+SHARD_CONTEXTS, SHARD_BYTES, PIECE = 1024, 1 << 21, 1 << 23
 _SECOND = mix(SALT)
 
 
@@ -125,7 +125,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n = len(text)
     wide = np.concatenate([text.astype(np.uint64) & np.uint64(0xFFFF), np.zeros(4, np.uint64)])
     key = (wide[:n] << np.uint64(48)) | (wide[1 : n + 1] << np.uint64(32)) | (wide[2 : n + 2] << np.uint64(16)) | wide[3 : n + 3]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # equal keys stay one group, so no sort here need be stable
     new = np.ones(n, bool)
     new[1:] = key[order[1:]] != key[order[:-1]]
     rank = np.empty(n + 1, np.int64)
@@ -139,12 +139,12 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         if not len(todo):
             break
         i = order[todo]
-        ahead = rank[np.minimum(i + h, n)]
-        by = np.lexsort((ahead, rank[i]))
-        i, ahead = i[by], ahead[by]
+        key = rank[i] * (n + 1) + rank[np.minimum(i + h, n)] + 1
+        by = np.argsort(key)
+        i, key = i[by], key[by]
         order[todo] = i
         split = np.ones(len(i), bool)
-        split[1:] = (rank[i[1:]] != rank[i[:-1]]) | (ahead[1:] != ahead[:-1])
+        split[1:] = key[1:] != key[:-1]
         new[todo] = split
         rank[i] = todo[np.maximum.accumulate(np.where(split, np.arange(len(i)), 0))]
         h *= 2
@@ -197,7 +197,7 @@ def _shard(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = suffix_array(signs)
     shared = common_prefixes(signs, order, begin, np.diff(off) + 1, LENGTH)[order]
     kind = np.cumsum(shared < LENGTH)  # class of equal LENGTH-byte prefixes, in order
-    piece = np.searchsorted(begin, order, "right") - 1
+    piece = np.repeat(pieces_, np.diff(off) + 1)[order]
     inside = order - begin[piece]
     own = inside < n[piece]
     kind, piece, place, byte = kind[own], piece[own], (start[piece] + inside)[own], (off[piece] + inside)[own]
