@@ -274,11 +274,14 @@ def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, start, end of byte spans that cover each repeated string of docs(doc_id, text not null); spans may overlap."""
     here = W.partitionBy("h", "c").orderBy("doc_id", "start")
     head = F.first(F.struct("doc_id", "start")).over(here)
-    seen = written(firsts(docs).withColumn("again", head != F.struct("doc_id", "start")).select("h", "doc_id", "start", "n", "again"))
-    frequent = written(seen.where("not again").groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1"))
+    again = head != F.struct("doc_id", "start")
+    # a repeated row needs its place only, a first one its anchor only: the other columns stay null and take no room
+    seen = firsts(docs).withColumn("again", again).select(F.when(~F.col("again"), F.col("h")).alias("h"), *(F.when(F.col("again"), F.col(c)).alias(c) for c in ("doc_id", "start", "n")))
+    seen = written(seen)
+    frequent = written(seen.where("h is not null").groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1"))
     both = written(second_reading(docs, frequent))
     ends = lambda df: df.select("doc_id", "start", (F.col("start") + F.col("n") - 1 + LENGTH).alias("end"))
-    spans = ends(seen.where("again")).unionByName(ends(both.where("bytes is null")))
+    spans = ends(seen.where("doc_id is not null")).unionByName(ends(both.where("bytes is null")))
     wide = F.col("contexts") > SHARD_CONTEXTS
     key = F.when(wide, F.xxhash64("h", F.pmod(F.xxhash64("doc_id", "start"), F.ceil(F.col("contexts") / SHARD_CONTEXTS)))).otherwise(F.col("h"))
     contexts = both.where("bytes is not null").join(frequent, "h").select(key.alias("key"), "doc_id", "start", "n", "bytes", wide.alias("wide"))
