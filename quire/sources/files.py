@@ -29,6 +29,8 @@ ERRORS = ("corrupt", "empty", "protected", "missing", "unsupported")
 EXTENSIONS = [(".fb2.zip", "fb2"), (".epub", "epub"), (".xhtml", "html"), (".html", "html"), (".azw3", "kindle"), (".mobi", "kindle"), (".azw", "kindle"), (".prc", "kindle"), (".htm", "html"), (".fb2", "fb2"), (".cbz", "comic"), (".txt", "text"), (".md", "text"), (".pdf", "pdf")]
 PICTURES = (".jpg", ".jpeg", ".png", ".gif", ".webp", ".bmp")
 MEMBER_MOST, ALL_MOST, DEPTH = 256 << 20, 2 << 30, 8
+# How a Kindle book's text is packed.
+STORED, LZ77, HUFFMAN = 1, 2, 17480
 
 
 def discover(spark: SparkSession, roots: list[str]) -> DataFrame:
@@ -300,17 +302,21 @@ def page(data: bytes) -> dict:
 
 
 def palm(data: bytes) -> dict:
-    """Kindle books of the older kind: records, stored or LZ77 text, pages cut at page breaks."""
+    """Kindle books of the older kind: records of stored, LZ77 or Huffman-coded text, pages cut at page breaks."""
     count = struct.unpack(">H", data[76:78])[0]
     at = [struct.unpack(">I", data[78 + 8 * i : 82 + 8 * i])[0] for i in range(count)] + [len(data)]
     first = data[at[0] : at[1]]
     method, _, length, records, _, locked = struct.unpack(">HHIHHH", first[:14])
     if locked:
         return {"error": "protected"}
-    if method not in (1, 2):
+    if method not in (STORED, LZ77, HUFFMAN):
         return {"error": "unsupported"}
+    unpack = {STORED: bytes, LZ77: lz77}.get(method)
+    if method == HUFFMAN:
+        codes, n = struct.unpack(">II", first[112:120])
+        unpack = Phrases([data[at[i] : at[i + 1]] for i in range(codes, min(codes + n, count))]).text
     flags = struct.unpack(">H", first[242:244])[0] if len(first) >= 244 and first[16:20] == b"MOBI" else 0
-    body = b"".join((lz77 if method == 2 else bytes)(trimmed(data[at[i] : at[i + 1]], flags)) for i in range(1, min(records, count - 1) + 1))[:length]
+    body = b"".join(unpack(trimmed(data[at[i] : at[i + 1]], flags)) for i in range(1, min(records, count - 1) + 1))[:length]
     out = page(body.replace(b"<mbp:pagebreak/>", b"<hr>"))
     out["title"] = out["title"] or data[:32].split(b"\0")[0].decode("latin-1").replace("_", " ")
     return out
@@ -353,6 +359,55 @@ def lz77(data: bytes) -> bytes:
     return bytes(out)
 
 
+class Phrases:
+    """Huffman-coded text: a record of code tables, then records of phrases, which may be coded themselves."""
+
+    MOST, DEEPEST = 32 << 20, 32
+
+    def __init__(self, records: list[bytes]):
+        tables, *books = records
+        if tables[:4] != b"HUFF" or any(b[:4] != b"CDIC" for b in books):
+            raise ValueError("no code tables")
+        by_byte, by_length = struct.unpack(">II", tables[8:16])
+        self.short = [(v & 31, bool(v & 128), v >> 8) for v in struct.unpack(">256I", tables[by_byte : by_byte + 1024])]
+        limits = struct.unpack(">64I", tables[by_length : by_length + 256])
+        self.lowest, self.highest = (0, *limits[::2]), (0, *limits[1::2])  # by code length
+        self.phrases: list[bytes] = []
+        self.plain: list[bool] = []
+        for b in books:
+            total, bits = struct.unpack(">II", b[8:16])
+            n = min(1 << min(bits, 16), total - len(self.phrases))
+            for at in struct.unpack(f">{n}H", b[16 : 16 + 2 * n]):
+                size = struct.unpack(">H", b[16 + at : 18 + at])[0]
+                self.phrases.append(b[18 + at : 18 + at + (size & 0x7FFF)])
+                self.plain.append(bool(size & 0x8000))
+
+    def text(self, data: bytes, depth: int = 0) -> bytes:
+        if depth > self.DEEPEST:
+            raise ValueError("phrases within phrases without end")
+        bits, left, at, out = int.from_bytes(data + bytes(8), "big"), 8 * len(data), 0, bytearray()
+        width = left + 64
+        while at < left:
+            code = bits >> (width - at - 32) & 0xFFFFFFFF
+            size, done, high = self.short[code >> 24]
+            if not done:
+                while code >> (32 - size) < self.lowest[size]:
+                    size += 1
+                high = self.highest[size]
+            if not size or at + size > left:
+                break
+            out += self.phrase(high - (code >> (32 - size)), depth)
+            at += size
+            if len(out) > self.MOST:
+                raise ValueError("text too long")
+        return bytes(out)
+
+    def phrase(self, i: int, depth: int) -> bytes:
+        if not self.plain[i]:  # decoded once, kept plain from then on
+            self.phrases[i], self.plain[i] = self.text(self.phrases[i], depth + 1), True
+        return self.phrases[i]
+
+
 READERS: dict[str, Callable[[bytes], dict]] = {"epub": epub, "fb2": fb2, "comic": comic, "text": plain, "html": page, "kindle": palm}
 BOOK = "path string, kind string, title string, author string, language string, error string, sections array<int>, toc array<struct<t:string,d:int,b:int>>, blocks array<struct<k:string,l:int,t:string,m:string,rows:array<array<string>>,hdr:int,q:int>>"
 

@@ -2,6 +2,7 @@
 
 import io
 import os
+import struct
 import zipfile
 
 import duckdb
@@ -102,6 +103,30 @@ def test_books(spark):
     assert [got[n]["error"] for n in ("e.mobi", "f.pdf", "g.txt")] == ["corrupt", "unsupported", "empty"]
 
 
+def test_huffman_text():
+    tables = b"HUFF" + struct.pack(">III", 24, 24, 24 + 1024) + bytes(8) + struct.pack(">256I", *[8 | 128 | 255 << 8] * 256) + bytes(256)
+    phrases = [(bytes([255 - i]), 0x8000) for i in range(256)]
+    phrases[255 - 1] = (b"on", 0)  # byte 1: a phrase that is coded itself
+    phrases[255 - 2] = (b"\x01\x01", 0)
+    data, at = b"", []
+    for p, plain in phrases:
+        at.append(512 + len(data))
+        data += struct.pack(">H", len(p) | plain) + p
+    book = b"CDIC" + struct.pack(">III", 16, 256, 8) + struct.pack(">256H", *at) + data
+    assert B.Phrases([tables, book]).text(b"<p>\x01\x02 and \x01") == b"<p>ononon and on"
+    packed = b"<p>one</p><p>tw\x01</p>"
+    first = struct.pack(">HHIHHH", B.HUFFMAN, 0, len(packed) + 1, 1, 4096, 0) + bytes(2) + b"MOBI" + bytes(92) + struct.pack(">II", 2, 2) + bytes(130)
+    records = [first, packed, tables, book]
+    start = 78 + 8 * len(records)
+    spots = [start + sum(map(len, records[:i])) for i in range(len(records))]
+    mobi = b"Name_of_it".ljust(60, b"\0") + b"BOOKMOBI" + bytes(8) + struct.pack(">H", len(records)) + b"".join(struct.pack(">II", s, 0) for s in spots) + b"".join(records)
+    got = B.book("kindle", mobi)
+    assert (got["title"], [b["t"] for b in got["blocks"]], got["error"]) == ("Name of it", ["one", "twon"], "")
+    phrases = struct.pack(">H", 1) + b"\x01"  # a phrase that holds itself
+    endless = b"CDIC" + struct.pack(">III", 16, 256, 8) + struct.pack(">256H", *[512] * 256) + phrases
+    assert B.book("kindle", mobi.replace(book, endless + bytes(len(book) - len(endless))))["error"] == "corrupt"
+
+
 def test_stream_equals_batch(spark, tmp_path):
     src = spark.read.parquet(f"{D}/events.parquet")
     src.write.parquet(str(tmp_path / "in"))
