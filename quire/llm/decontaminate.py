@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import NO_ID, SALT_LOWER, Rolling, blocks, given_id, mix, sieve, signed, table, with_id, words, written
+from quire.llm.common import SALT_LOWER, Rolling, blocks, given_id, mix, sieve, signed, table, with_id, words, written
 
 WIDTH, RUN, LITERAL = 8, 5, 4
 # Units that count as such after a number.
@@ -150,9 +150,10 @@ def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without those that hold an item."""
-    gone = leaks(docs, items).select("doc_id").where(F.col("doc_id") != NO_ID).distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """docs without those that hold an item. A row goes by its identifier and its text, so rows of null or repeated identifiers are judged each."""
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
+    gone = leaks(rows, items).select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, F.xxhash64(docs["doc_id"], docs["text"]) == gone["gone"], "left_anti")
 
 
 ORACLE_SQL: dict[str, str] = {}

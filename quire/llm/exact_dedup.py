@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import NO_ID, given_id, lower_ascii, table, with_id, written
@@ -58,6 +58,14 @@ def merge_runs(batches: Iterator[pa.RecordBatch], largest: bool) -> Iterator[pa.
         yield carry
 
 
+def _digest(docs: DataFrame) -> Column:
+    return F.unhex(F.sha2(lower_ascii(F.coalesce(docs["text"], F.lit(""))).cast("binary"), 256))
+
+
+def _id(docs: DataFrame) -> Column:
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
+
+
 def tree_merge(runs: DataFrame, largest: bool) -> DataFrame:
     """runs (lane, digest, keep_id, n, n_bytes) to one row per digest."""
     for r in range(ROUNDS):
@@ -79,7 +87,7 @@ def exact_groups(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """
     largest = keep == "largest"
     text = lower_ascii(F.coalesce(F.col("text"), F.lit("")))
-    hashed = docs.select(with_id().alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes")).withColumn("lane", F.pmod(F.xxhash64("doc_id"), F.lit(LANES)).cast("int"))
+    hashed = docs.select(with_id().alias("doc_id"), _digest(docs).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes")).withColumn("lane", F.pmod(F.xxhash64("doc_id"), F.lit(LANES)).cast("int"))
     hashed = written(hashed)
     pick = F.max if largest else F.min
     runs = hashed.groupBy("lane", "digest", "n_bytes").agg(pick("doc_id").alias("keep_id"), F.count("*").alias("n"))
@@ -98,9 +106,21 @@ def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text, A-Z lower-cased, a row of a smaller identifier has; repeated rows of one identifier stay once."""
-    gone = exact_groups(docs).where("not kept").select("doc_id").where(F.col("doc_id") != NO_ID).distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """docs without the rows whose text, A-Z lower-cased, a row of a smaller identifier has.
+
+    A row goes by its identifier and its text, so another text of the same identifier stays. Repeated rows of one
+    identifier and text stay once; a null identifier is one identifier, below all others.
+    """
+    groups = written(exact_groups(docs).where("group_size > 1").select("doc_id", F.unhex("text_sha256").alias("digest"), "kept"))
+    gone = groups.where("not kept").select("doc_id", "digest").distinct()
+    left = docs.join(gone, (_id(docs) == gone["doc_id"]) & (_digest(docs) == gone["digest"]), "left_anti").select(docs.columns)
+    repeated = groups.where("kept").groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest")
+    if repeated.isEmpty():
+        return left
+    repeated = written(repeated)
+    same = (_id(left) == repeated["doc_id"]) & (_digest(left) == repeated["digest"])
+    once = left.join(repeated, same, "left_semi").withColumn("quire digest", _digest(left)).dropDuplicates(["doc_id", "quire digest"]).select(docs.columns)
+    return left.join(repeated, same, "left_anti").select(docs.columns).unionByName(once)
 
 
 ORACLE_SQL = {

@@ -228,7 +228,10 @@ def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with the first document of each near-duplicate group only (five words, similarity 0.8)."""
+    """docs with the first document of each near-duplicate group only (five words, similarity 0.8).
+
+    Rows of one identifier are one document: they stay or go together. Rows of a null identifier, the smallest, all stay.
+    """
     gone = similar(docs).where("component_id <> doc_id").select("doc_id").where(F.col("doc_id") != NO_ID).distinct()
     return docs.join(gone, "doc_id", "left_anti")
 

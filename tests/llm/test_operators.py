@@ -56,6 +56,19 @@ def test_exact(docs, none):
     assert exact_dedup.drop_copies(docs).columns == docs.columns
 
 
+def test_rows_go_by_identifier_and_text(spark):
+    leak = "which of these three large rivers flows north through the whole old desert country before it meets the sea"
+    full = [(1, text(1)), (5, text(1)), (5, text(2)), (7, text(3)), (7, text(3).upper()), (None, text(4)), (None, text(4)), (None, leak), (9, text(5)), (11, "x " + text(5)), (11, text(6)), (12, leak), (12, text(7))]
+    d = spark.createDataFrame(full, "doc_id long, text string")
+    left = sorted(((r.doc_id or 0, r.text.lower()) for r in exact_dedup.drop_copies(d).collect()))
+    assert left == sorted({(i or 0, t.lower()) for i, t in full if (i, t) != (5, text(1)) and (i, t) != (12, leak)})
+    near = {(r.doc_id, r.text) for r in jaccard_join.one_of_each(d).collect()}
+    assert near == {(i, t) for i, t in full if i not in {5, 11, 12}}
+    items = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    clean = [(r.doc_id, r.text) for r in decontaminate.without_leaks(d, items).collect()]
+    assert sorted(clean, key=str) == sorted(((i, t) for i, t in full if t != leak), key=str)
+
+
 def test_merge_runs_across_batches():
     import pyarrow as pa
 
