@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.operators.order import running
+
 SALTS = 32
 
 
@@ -46,15 +47,14 @@ def recency(books: DataFrame, reads: DataFrame) -> DataFrame:
     """books (key, title, path) with t (last read, 0 for never) and pos: last read first, then title, then path."""
     t = F.coalesce("t", F.lit(0)).cast("long")
     x = books.join(reads.groupBy("key").agg(F.max("t").alias("t")), "key", "left").withColumn("t", t)
-    return x.withColumn("pos", F.row_number().over(W.orderBy(F.desc("t"), title_key(F.col("title")), "path")))
+    return running(x, [F.desc("t"), title_key(F.col("title")), F.col("path")]).drop("before", "whole")
 
 
 def prune(entries: DataFrame, limit: int | Column) -> DataFrame:
-    """entries (key, opened, size): those to drop, oldest first, until the rest is within limit."""
-    before = W.orderBy("opened", "key").rowsBetween(W.unboundedPreceding, -1)
-    kept = F.sum("size").over(W.partitionBy()) - F.coalesce(F.sum("size").over(before), F.lit(0))
+    """entries (key, opened, size): those to drop, oldest first, until the rest is within limit (may use whole, the sum of sizes)."""
     most = limit if isinstance(limit, Column) else F.lit(limit)
-    return entries.withColumn("kept", kept).withColumn("most", most).where("kept > most").drop("most")
+    x = running(entries, [F.col("opened"), F.col("key")], F.col("size")).withColumn("kept", F.col("whole") - F.col("before"))
+    return x.where(F.col("kept") > most).drop("whole", "before", "pos")
 
 
 def folder_of(paths: DataFrame, roots: DataFrame) -> DataFrame:

@@ -113,8 +113,7 @@ def dedup_first_wins(spark, d):
 @query("SELECT key, size, CAST(kept AS BIGINT) AS kept FROM (SELECT doc_id AS key, n_chars AS size, sum(n_chars) OVER () - coalesce(sum(n_chars) OVER (ORDER BY doc_id % 97, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS kept, sum(n_chars) OVER () AS total FROM documents) WHERE kept > total // 2")
 def lru_prune(spark, d):
     x = read(spark, d, "documents").select(F.col("doc_id").alias("key"), (F.col("doc_id") % 97).alias("opened"), F.col("n_chars").alias("size"))
-    half = F.floor(F.sum("size").over(W.partitionBy()) / 2)
-    return C.prune(x, half).select("key", "size", "kept")
+    return C.prune(x, F.floor(F.col("whole") / 2)).select("key", "size", "kept")
 
 
 @query("SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n <= 8")
@@ -351,3 +350,6 @@ def short_title(spark, d):
 @query("SELECT c_custkey, split_part(c_name, '#', 2) || ' ' || split_part(c_name, '#', 1) AS name FROM customer")
 def natural_name(spark, d):
     return read(spark, d, "customer").select("c_custkey", C.natural_name(F.regexp_replace("c_name", "#", ", ")).alias("name"))
+
+
+from quire.plans import reading  # noqa: E402, F401 - its queries join the same tables

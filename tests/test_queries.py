@@ -2,15 +2,20 @@
 
 import io
 import os
+import re
 import struct
 import zipfile
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quire.functions import html as H
+from quire.functions import reading as R
 from quire.functions import text as T
 from quire.operators import catalog as C
+from quire.operators import contents as N
+from quire.operators import order as O
 from quire.operators import sequence as S
 from quire.plans.queries import ORACLE_SQL, QUERIES
 from quire.sources import files as B
@@ -48,6 +53,48 @@ def test_depths_and_budget(spark):
     assert [r["ord"] for r in S.within_budget(x, 3, 55, 100).orderBy("ord").collect()] == [0, 2, 3]
 
 
+def test_labels_open_at_deeper_entries(spark):
+    rows = [(1, 0, 0, None), (1, 1, 1, None), (1, 2, 2, 7), (1, 3, 1, None), (1, 4, 1, 9), (1, 5, 3, None)]
+    got = N.labels_open(spark.createDataFrame(rows, "key long, ord long, d int, b long")).orderBy("ord").collect()
+    assert [r["b"] for r in got] == [7, 7, 7, None, 9, None]
+
+
+def test_mark_is_the_plain_loop(spark):
+    def slow(t):
+        if t == "" or re.fullmatch("#[0-9a-f]{14}", t):
+            return t
+        m, a, b = 2**32 - 1, 0xDEADBEEF, 0x41C6CE57
+        raw = t.encode("utf-16-le")
+        for c in struct.unpack(f"<{len(raw) // 2}H", raw):
+            a, b = (a ^ c) * 2654435761 & m, (b ^ c) * 1597334677 & m
+        a = ((a ^ a >> 16) * 2246822507 ^ (b ^ b >> 13) * 3266489909) & m
+        b = ((b ^ b >> 16) * 2246822507 ^ (a ^ a >> 13) * 3266489909) & m
+        return f"#{b & 0xFFFFFF:06x}{a:08x}"
+
+    texts = ["", "a", "Call me Ishmael", "\U0001f600 x", "é" * 48, "#0123456789abcd", "#0123456789abcde"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", R.mark("t").alias("m")).collect()
+    assert {r["t"]: r["m"] for r in got} == {t: slow(t) for t in texts}
+
+
+def test_copied_text(spark):
+    one = "a\u00a0b\u00ad \n\n\n\nc\u2028d "
+    long = "x" * 30 + "\n\n" + "é" * 30
+    got = spark.createDataFrame([(one,), (long,), ("é" * 60,), ("€" * 40,), ("\U0001f600" * 30,)], "t string").select(R.clipped(F.col("t"), 50).alias("t")).collect()
+    assert [r["t"] for r in got] == ["a b\n\nc\nd", "x" * 30, "é" * 25, "€" * 16, "\U0001f600" * 12]
+
+
+def test_running_sums_over_ranges(spark):
+    x = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("id")).repartition(5)
+    got = O.running(x, [F.col("id")], F.col("id")).orderBy("id").collect()
+    assert [(r["pos"], r["before"], r["whole"]) for r in got] == [(i + 1, i * (i - 1) // 2, 499500) for i in range(1000)]
+    assert O.running(x.where("id < 0"), [F.col("id")], F.col("id")).isEmpty()
+
+
+def test_raised_and_visible(spark):
+    got = spark.createDataFrame([("12+n",), ("1a",), (" \u00a0\u00ad",), ("",)], "t string").select(R.raised(F.col("t")).alias("r"), R.visible(F.col("t")).alias("v")).collect()
+    assert [tuple(r) for r in got] == [("¹²⁺ⁿ", True), (None, True), (None, False), (None, False)]
+
+
 def test_contract_holds(spark):
     assert QUERIES["block_contract"](spark, D).isEmpty()
 
