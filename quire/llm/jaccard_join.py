@@ -178,7 +178,8 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     firsts = groups.select(*key, "first")
     copies = written(lanes.join(firsts, key))
     tagged = rows.where("n > 0").join(copies, ["lane", *key], "left")
-    reps = written(tagged.where(F.col("first").isNull() | (F.col("first") == F.col("doc_id"))).dropDuplicates(["doc_id", *key]).select(F.col("doc_id").alias("id"), "n", "prefix", "cells", F.xxhash64("n", "prefix").alias("g"), lane()))
+    # the lane follows from the identifier; named as a key, it lets the join's exchange serve
+    reps = written(tagged.where(F.col("first").isNull() | (F.col("first") == F.col("doc_id"))).dropDuplicates(["doc_id", "lane", *key]).select(F.col("doc_id").alias("id"), "n", "prefix", "cells", F.xxhash64("n", "prefix").alias("g"), lane()))
     # groups of equal size and prefix, named by their first member
     g_lanes, g_groups = lane_groups(reps, ["g"], "id")
     members = written(reps.select("id", "lane", "g").join(written(g_lanes.join(g_groups.select("g", "first"), "g")), ["lane", "g"]).select("id", F.col("first").alias("gid")))
