@@ -107,6 +107,27 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>, cells binary")
 
 
+def shared_tokens(reps: DataFrame) -> DataFrame:
+    """id, n, p (position), t of the prefix entries of reps, but for those that only one prefix has: most of them.
+
+    The counting pass deals out tokens alone. What it finds is a fixed-size sieve, which lets others pass but loses none.
+    """
+    often = written(reps.select(F.explode("prefix").alias("t")).groupBy("t").agg(F.count("*").alias("k")).where("k > 1").select("t"))
+    shared = reps.sparkSession.sparkContext.broadcast(sieve(often, "t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            off = batch["prefix"].offsets.to_numpy().astype(np.int64)
+            t = batch["prefix"].values.to_numpy()[off[0] : off[-1]]
+            row = np.repeat(np.arange(batch.num_rows), np.diff(off))
+            keep = np.flatnonzero(shared.value.has(t.copy()))
+            of = row[keep]
+            p = (keep - (off[of] - off[0])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(of)), batch["n"].take(pa.array(of)), pa.array(p), pa.array(t[keep])], names=["id", "n", "p", "t"])
+
+    return reps.select("id", "n", "prefix").mapInArrow(run, "id long, n long, p int, t long")
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """id and sorted whole set of those rows of docs whose doc_id is in ids(id); read again from the text, not stored."""
     shared = docs.sparkSession.sparkContext.broadcast(sieve(ids, "id"))
@@ -184,8 +205,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     g_lanes, g_groups = lane_groups(reps, ["g"], "id")
     members = written(reps.select("id", "lane", "g").join(written(g_lanes.join(g_groups.select("g", "first"), "g")), ["lane", "g"]).select("id", F.col("first").alias("gid")))
     inside = members.where("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b"))
-    heads = reps.join(members.where("id <> gid"), "id", "left_anti")
-    lists = heads.select("id", "n", F.posexplode("prefix").alias("p", "t"))
+    lists = shared_tokens(reps).join(members.where("id <> gid"), "id", "left_anti")
     leader = F.min(F.struct("p", "id", "n")).alias("l")
     leaders = written(lists.groupBy("t").agg(leader, F.count("*").alias("k")).where("k > 1").select("t", F.col("l.id").alias("lid"), F.col("l.p").alias("lp"), F.col("l.n").alias("ln")))
     lists = written(lists.join(leaders, "t"))
