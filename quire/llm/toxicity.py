@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER, SALT_LOWER, SPACE, Rolling, blocks, mix, signed, table, words
+from quire.llm.common import LOWER, SALT_LOWER, SPACE, Rolling, blocks, mix, signed, table, words, written
 
 SAMPLE, FEATURES, LEAST = 10_000, 2048, 5
 PREFIXES = (4, 5, 6)
@@ -185,16 +185,16 @@ def logistic(row: np.ndarray, at: np.ndarray, y: np.ndarray, m: int, penalty: fl
     return w, b
 
 
-def fit(docs: DataFrame) -> Model:
-    """Of docs(doc_id, text, toxic), rows whose toxic is null left out. Needs both labels, else all scores are the share of 1."""
-    labelled = docs.where("toxic is not null")
+def fit(docs: DataFrame, labels: DataFrame | None = None) -> Model:
+    """Of docs(doc_id, text) and labels(doc_id, toxic), or docs with toxic; rows whose toxic is null left out. Labels meet identifiers, texts only the sample. Needs both labels, else all scores are the share of 1."""
+    labelled = (docs if labels is None else docs.select("doc_id").join(labels, "doc_id")).select("doc_id", "toxic").where("toxic is not null")
     share = dict(labelled.groupBy((F.col("toxic") > 0).cast("int").alias("y")).count().collect())
     texts = None
     for y in (0, 1):  # TakeOrdered: each partition sends at most SAMPLE identifiers
         part = labelled.where((F.col("toxic") > 0) == F.lit(bool(y))).select("doc_id", F.lit(y).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
         texts = part if texts is None else texts.unionByName(part)
     # 2 * SAMPLE identifiers at most: a proven bound
-    chosen = docs.select("doc_id", "text").join(F.broadcast(texts), "doc_id").dropDuplicates(["text"])
+    chosen = written(docs.select("doc_id", "text").join(F.broadcast(texts), "doc_id").dropDuplicates(["text"]))
     channel = Channel(trigrams(chosen))
     shared = docs.sparkSession.sparkContext.broadcast(Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, channel))
 
@@ -259,7 +259,7 @@ def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     held = lambda: F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~held()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = fit(docs.join(labels, "doc_id"))
+    model = fit(docs, labels)
     return score(docs.withColumn("held_out", held()), model)
 
 
