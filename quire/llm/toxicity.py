@@ -5,7 +5,8 @@ single letters) become character lattices: each sign may stand for itself or a l
 or a repeat for nothing. Viterbi decoding under a character trigram model takes the likeliest word; a token
 without such signs has one path and is taken as it is. Restored words and their prefixes are features.
 
-Labels are learned from a bounded sample: the ``SAMPLE`` rows of each label with the smallest hashes. Up to
+The trigrams are counted over all texts, labelled or not. Only the classifier is learned from a bounded sample:
+the ``SAMPLE`` rows of each label with the smallest hashes. Up to
 ``FEATURES`` features with the largest association are weighed by logistic regression, with the sample's share of
 each label put right by what all labelled rows show. The model is bounded and broadcast; scoring is map-only.
 """
@@ -125,6 +126,7 @@ def trigrams(docs: DataFrame) -> dict[str, int]:
             for _, _, buf, off in blocks(batch["text"]):
                 low = LOWER[buf]
                 code = np.where((low >= 97) & (low < 123), low - 96, np.where(SPACE[low], 0, 27)).astype(np.int64)
+                code = np.insert(code, off, 0)  # rows begin and end with a blank, so counts don't depend on batches
                 code = code[np.concatenate([[True], (code[1:] > 0) | (code[:-1] > 0)])] if len(code) else code
                 code = np.repeat(code, np.where(code == 0, 2, 1))  # a word starts with two blanks before it
                 if len(code) > 2:
@@ -195,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None) -> Model:
         texts = part if texts is None else texts.unionByName(part)
     # 2 * SAMPLE identifiers at most: a proven bound
     chosen = written(docs.select("doc_id", "text").join(F.broadcast(texts), "doc_id").dropDuplicates(["text"]))
-    channel = Channel(trigrams(chosen))
+    channel = Channel(trigrams(docs))  # of all texts, labelled or not: at most 28**3 cells reach the driver
     shared = docs.sparkSession.sparkContext.broadcast(Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, channel))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

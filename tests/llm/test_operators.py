@@ -223,6 +223,21 @@ def test_toxicity(spark, none):
     assert toxicity.score(none.select("doc_id", "text"), empty).isEmpty()
 
 
+def test_trigrams_of_all_texts(spark, monkeypatch):
+    """The decoder's model counts unlabelled texts and those beyond the sample, however rows are dealt."""
+    monkeypatch.setattr(toxicity, "SAMPLE", 5)
+    full = [*((i, text(i), i % 2) for i in range(40)), (90, None, 1), *((100 + i, "Zyx  qwv zyx", None) for i in range(20))]
+    d = spark.createDataFrame(full, "doc_id long, text string, toxic int")
+    want = collections.Counter()
+    for _, t, _ in full:
+        w = "  " + "  ".join(tokens(t)) + "  "
+        want.update(g for k in range(len(w) - 2) if (g := w[k : k + 3]).strip())
+    got = [{g: n for g, n in toxicity.trigrams(d.repartition(k)).items() if g.strip()} for k in (1, 7)]
+    assert got == [want, want]
+    channel = toxicity.fit(d).channel
+    assert {"zyx", "yx ", "qwv"} <= set(channel.logs) and channel.decode("zy><x") == "zyx"
+
+
 def test_warc(spark):
     path = shared_dir(spark)
     pages = [(1, "u", None, 0), (2, None, "", 0), (None, "x", "é", 0), (4, "a\r\nb", "é", 0), (5, "z", "WARC/1.1\r\n\r\n" * 30000, 0)]
