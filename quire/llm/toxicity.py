@@ -3,7 +3,10 @@
 Tokens that may be disguised (letters mixed with look-alike digits and signs, a letter three times running, runs of
 single letters) become character lattices: each sign may stand for itself or a letter it looks like, a separator
 or a repeat for nothing. Viterbi decoding under a character trigram model takes the likeliest word; a token
-without such signs has one path and is taken as it is. Restored words and their prefixes are features.
+without such signs has one path and is taken as it is. Restored words and their prefixes are features. A run may
+hold several words, so it is read as one word, as the words of a lattice that may end a word after each letter, and
+from each of its letters on: words of four letters or more are found by that wherever they start, shorter ones where
+the lattice or a wider gap sets them apart. Runs and tokens of any length are decoded, long ones in pieces.
 
 The trigrams are counted over all texts, labelled or not. Only the classifier is learned from a bounded sample:
 the ``SAMPLE`` rows of each label with the smallest hashes. Up to
@@ -13,6 +16,7 @@ each label put right by what all labelled rows show. The model is bounded and br
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +28,8 @@ from pyspark.sql import functions as F
 from quire.llm.common import LOWER, SALT_LOWER, SPACE, Rolling, blocks, mix, signed, table, words, written
 
 SAMPLE, FEATURES, LEAST = 10_000, 2048, 5
-PREFIXES = (4, 5, 6)
+PREFIXES, WHOLE = (4, 5, 6), np.uint64(0x5555)
+TOKEN, PIECE = 64, 4096  # a longer token is read as a run of letters; pieces in which long ones are decoded
 # What signs may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 SEPARATORS = " .-_*~'`/\\,:;^"
@@ -32,6 +37,7 @@ SAME, LOOKS, REPEAT, SKIP, DROP = -0.05, -1.2, -0.7, -0.3, -2.5
 
 _LETTER = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
 _SIGN = np.array([b < 128 and (chr(b) in LOOKALIKES or chr(b) in "._-*~'`/\\") for b in range(256)])
+_POINT = np.array([b & 0xC0 != 0x80 for b in range(256)])  # the first byte of a code point
 _EDGE = np.array([b < 128 and not chr(b).isalnum() and chr(b) not in "@$|+(" for b in range(256)])
 
 
@@ -46,37 +52,66 @@ class Channel:
         self.logs = {g: float(np.log((n + 0.1) / (context[g[:2]] + 0.1 * 60))) for g, n in counts.items()}
         self.rare = {c: float(np.log(0.1 / (n + 0.1 * 60))) for c, n in context.items()}
         self.none = float(np.log(1 / 60))
-        self.decode = lru_cache(1 << 16)(self._decode)
+        self._cached()
+
+    def _cached(self) -> None:
+        self._short = lru_cache(1 << 16)(self._decode)
 
     def step(self, state: str, c: str) -> float:
         p = self.logs.get(state + c)
         return p if p is not None else self.rare.get(state, self.none)
 
-    def _decode(self, token: str) -> str:
-        best: dict[tuple[str, str], tuple[float, str]] = {("  ", ""): (0.0, "")}  # (last two letters, last sign) to (score, word)
-        for o in token:
+    def decode(self, token: str, spaced: bool = False) -> str:
+        """The likeliest word; if spaced, words: a blank may follow each letter, and one in the token is likely one."""
+        return (self._short if len(token) <= TOKEN else self._decode)(token, spaced)
+
+    def _decode(self, token: str, spaced: bool) -> str:
+        best: dict[tuple[str, str], tuple[float, tuple | str]] = {("  ", ""): (0.0, "")}  # (last two letters, last sign) to (score, letters back to a text)
+        done: list[str] = []
+        for i, o in enumerate(token):
+            gap = spaced and o == " "
             arcs: list[tuple[str, float]] = []
             if o.isalnum():
                 arcs.append((o, SAME if o.isalpha() else DROP))
             arcs += [(c, LOOKS) for c in LOOKALIKES.get(o, "")]
             if o in SEPARATORS or not arcs:
-                arcs.append(("", SKIP))
-            found: dict[tuple[str, str], tuple[float, str]] = {}
+                arcs.append(("", DROP if gap else SKIP))
+            found: dict[tuple[str, str], tuple[float, tuple | str]] = {}
             for (state, last), (score, word) in best.items():
-                options = [*arcs, ("", REPEAT)] if o == last else arcs
+                options = [*arcs, ("", REPEAT)] if o == last and not gap else arcs
                 for c, cost in options:
                     key = ((state[1] + c) if c else state, o)
                     x = score + cost + (self.step(state, c) if c else 0.0)
                     if key not in found or x > found[key][0]:
-                        found[key] = (x, word + c)
+                        found[key] = (x, (word, c) if c else word)
+            if spaced:
+                for (state, _), (score, word) in [kv for kv in found.items() if kv[0][0] != "  "]:
+                    x = score + self.step(state, " ") - (DROP if gap else 0.0)
+                    if ("  ", o) not in found or x > found["  ", o][0]:
+                        found["  ", o] = (x, (word, " "))
             best = dict(sorted(found.items(), key=lambda kv: -kv[1][0])[:32]) if len(found) > 32 else found
-        return max((s + self.step(state, " "), w) for (state, _), (s, w) in best.items())[1]
-
-
-def features(buf: np.ndarray, off: np.ndarray, channel: Channel | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct feature hashes of each row's restored words, and their rows."""
+            if i % PIECE == PIECE - 1:  # what all paths agree on is settled
+                texts = {k: _text(w) for k, (_, w) in best.items()}
+                same = os.path.commonprefix(list(texts.values()))
+                done.append(same)
+                best = {k: (x, texts[k][len(same) :]) for k, (x, _) in best.items()}
+        ends = [(s + (self.step(state, " ") if state != "  " else 0.0), w) for (state, _), (s, w) in best.items()]
+        most = max(s for s, _ in ends)
+        return "".join(done) + max(_text(w) for s, w in ends if s == most)
+
+
+def _text(word: tuple | str) -> str:
+    out = []
+    while not isinstance(word, str):
+        word, c = word
+        out.append(c)
+    return word + "".join(reversed(out))
+
+
+def features(buf: np.ndarray, off: np.ndarray, channel: Channel | None, inside: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct feature hashes of each row's restored words, and their rows. inside: also those from any letter of a run or long token."""
     start, end, row = words(buf, off)
-    letters, signs = (np.concatenate([[0], np.cumsum(t[buf])]) for t in (_LETTER, _SIGN))
+    letters, signs, points = (np.concatenate([[0], np.cumsum(t[buf])]) for t in (_LETTER, _SIGN, _POINT))
     for _ in range(3):  # quotes, brackets, full stops around a word
         start = start + ((start < end - 1) & _EDGE[buf[start]])
         end = end - ((start < end - 1) & _EDGE[buf[end - 1]])
@@ -86,34 +121,53 @@ def features(buf: np.ndarray, off: np.ndarray, channel: Channel | None) -> tuple
         triple = np.zeros(len(buf) + 1, np.int64)
         triple[3:] = np.cumsum((low[2:] == low[1:-1]) & (low[2:] == low[:-2]) & _LETTER[low[2:]] & (low[2:] < 128)) if len(buf) > 2 else 0
         odd = ((letters[end] > letters[start]) & (signs[end] > signs[start])) | (triple[end] > triple[np.minimum(start + 2, end)])
-        odd &= end - start <= 64  # beyond that no word
-        texts, of = [], []
+        texts, of, whole, whole_of = [], [], [], []
         data = buf.tobytes()
+
+        def spelled(text: str, r: int) -> None:
+            one = channel.decode(text.replace(" ", ""))
+            found = {one, *channel.decode(text, True).split(" ")} - {""}
+            texts.extend(found)
+            of.extend([r] * len(found))
+            whole.append(one)
+            whole_of.append(r)
+
         for k in np.flatnonzero(odd):
-            texts.append(channel.decode(data[start[k] : end[k]].decode("utf-8", "replace").lower()))
-            of.append(row[k])
-        single = (end - start == 1) & (_LETTER[buf[start]] | _SIGN[buf[start]]) if len(start) else np.zeros(0, bool)
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
-        for a, b in zip(edge[::2], edge[1::2], strict=True):
-            for lo in range(a, b):  # runs end with a row
-                if lo > a and row[lo] == row[lo - 1]:
-                    continue
-                hi = lo + int(np.searchsorted(row[lo:b], row[lo], "right"))
-                if 4 <= hi - lo <= 64:
-                    texts.append(channel.decode("".join(chr(c) for c in low[start[lo:hi]])))
-                    of.append(row[lo])
+            text = data[start[k] : end[k]].decode("utf-8", "replace").lower()
+            if end[k] - start[k] > TOKEN:
+                spelled(text, row[k])
+            else:
+                texts.append(channel.decode(text))
+                of.append(row[k])
+        single = np.flatnonzero((points[end] - points[start] == 1) & (_LETTER[buf[start]] | _SIGN[buf[start]])) if len(start) else np.zeros(0, np.int64)
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(single) > 1) | (np.diff(row[single]) > 0)])) if len(single) else single
+        size = np.diff(np.concatenate([first, [len(single)]]))
+        for lo, n in zip(single[first[size > 1]], size[size > 1], strict=True):
+            gaps = start[lo + 1 : lo + n] - end[lo : lo + n - 1]
+            wide = np.concatenate([[False], gaps > gaps.min()])  # between words
+            spelled("".join((" " if w else "") + data[a:b].decode("utf-8", "replace").lower() for a, b, w in zip(start[lo : lo + n], end[lo : lo + n], wide, strict=True)), row[lo])
         if texts:
             more = np.frombuffer(" ".join(t.replace(" ", "") or "-" for t in texts).encode("utf-8", "replace"), np.uint8)
             s, e, _ = words(more, np.array([0, len(more)]))
             out.append(_hashes(more, s, e))
             rows.append(np.array(of, np.int64))
+        if whole and inside:
+            more = np.frombuffer(" ".join(t or "-" for t in whole).encode("utf-8", "replace"), np.uint8)
+            _, e, _ = words(more, np.array([0, len(more)]))
+            roll, s = Rolling(more, SALT_LOWER), np.flatnonzero(_POINT[more] & ~SPACE[more])
+            which = np.searchsorted(e, s, "right")
+            for n in PREFIXES:  # a word from there on has n letters, or more
+                fits = s + n <= e[which]
+                h = roll.of(s[fits], s[fits] + n)
+                out.append([h, h ^ WHOLE])
+                rows.append(np.array(whole_of, np.int64)[which[fits]])
     h, r = np.concatenate([x for o in out for x in o]), np.concatenate([x for o, w in zip(out, rows, strict=True) for x in [w] * len(o)])
     return h, r
 
 
 def _hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
     roll = Rolling(buf, SALT_LOWER)
-    whole = roll.of(start, end) ^ np.uint64(0x5555)
+    whole = roll.of(start, end) ^ WHOLE
     return [whole, *(np.where(end - start > n, roll.of(start, np.minimum(start + n, end)), whole) for n in PREFIXES)]
 
 
@@ -149,7 +203,7 @@ class Model:
 
     def __getstate__(self):
         x = dict(self.__dict__)
-        x["channel"] = {k: v for k, v in self.channel.__dict__.items() if k != "decode"}
+        x["channel"] = {k: v for k, v in self.channel.__dict__.items() if k != "_short"}
         return x
 
     def __setstate__(self, x):
@@ -204,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None) -> Model:
         for batch in batches:
             y = batch["y"].to_numpy()
             for i, j, buf, off in blocks(batch["text"]):
-                h, row = features(buf, off, shared.value.channel)
+                h, row = features(buf, off, shared.value.channel, inside=False)
                 order = np.lexsort((row, h))
                 h, row = h[order], row[order]
                 new = np.ones(len(h), bool)

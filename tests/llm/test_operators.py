@@ -238,6 +238,22 @@ def test_trigrams_of_all_texts(spark, monkeypatch):
     assert {"zyx", "yx ", "qwv"} <= set(channel.logs) and channel.decode("zy><x") == "zyx"
 
 
+def test_spelled_out(spark, monkeypatch):
+    clean = [(i, text(i), 0) for i in range(60)]
+    toxic = [(100 + i, f"{text(i + 500)} {('idiot', 'loser', 'imbécile', 'ass')[i % 4]} {text(i + 900, 9)}", 1) for i in range(80)]
+    plain = [(200 + i, "you are and i am a fine one " + text(i + 700), 0) for i in range(30)]
+    model = toxicity.fit(spark.createDataFrame([*clean, *toxic, *plain], "doc_id long, text string, toxic int"))
+    spell = lambda t, gap=" ": gap.join(t.replace(" ", ""))
+    bad = ["you are a l o s e r", "y o u i d i o t", "such an a s s", "i m b é c i l e", "y o u   a s s", spell(text(5, 40) + " idiot " + text(6, 40)), "x" + "".join(text(7, 30).split()) + "-1d1ot-" + "".join(text(8, 30).split())]
+    good = ["you are a f i n e one", spell(text(5, 40)), "c l i m b", "i  a m", "x" + "".join(text(7, 60).split()) + "-1"]
+    got = {r.doc_id: r.predicted for r in toxicity.score(spark.createDataFrame(list(enumerate([*bad, *good])), "doc_id long, text string"), model).collect()}
+    assert [got[i] for i in range(len(bad) + len(good))] == [1] * len(bad) + [0] * len(good)
+    long = ["".join(text(9, 100).split()).replace("a", "4").replace("i", "1"), "q1" * 400, "x.." * 99]
+    whole = [model.channel._decode(t, spaced) for t in long for spaced in (True, False)]
+    monkeypatch.setattr(toxicity, "PIECE", 7)
+    assert [model.channel._decode(t, spaced) for t in long for spaced in (True, False)] == whole
+
+
 def test_warc(spark):
     path = shared_dir(spark)
     pages = [(1, "u", None, 0), (2, None, "", 0), (None, "x", "é", 0), (4, "a\r\nb", "é", 0), (5, "z", "WARC/1.1\r\n\r\n" * 30000, 0)]
