@@ -211,6 +211,17 @@ def test_leaks(spark, docs, none):
     assert clash.columns == docs.columns and clash.count() == len(rows())
 
 
+def test_leaks_of_items_that_start_with_names(spark):
+    tom = "Tom has 5 apples. Tom buys 3 more. How many apples does Tom have?"
+    items = [(1, tom), (2, "Anna reads twelve pages of her new book daily"), (3, "Сначала старый поезд везёт Ивана через лес домой к его Марии"), (4, "Who discovered penicillin first")]
+    bob = tom.replace("Tom", "Bob").replace("5", "7").replace("3", "4")
+    found = [(1, 1, bob), (2, 1, "Well then. " + bob + " Yes."), (3, 2, "Zoe reads 31 pages of her new book daily"), (4, 3, items[2][1].replace("Ивана", "Петра").replace("Марии", "Ольге")), (5, 4, "They asked: who discovered penicillin first")]
+    clean = [(11, bob.replace("Bob have", "Sue have").replace("Bob buys", "Kim buys")), (12, "Fleming discovered penicillin first"), (13, "Zoe reads pages of her new book daily")]
+    d = spark.createDataFrame([*((i, t) for i, _, t in found), *clean], "doc_id long, text string")
+    got = decontaminate.leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.exact) for r in got) == [(1, 1, False), (2, 1, False), (3, 2, False), (4, 3, False), (5, 4, True)]
+
+
 def test_toxicity(spark, none):
     clean = [(i, text(i), 0) for i in range(60)]
     toxic = [(100 + i, text(i + 500) + " you idiot and moron " + text(i + 900, 9), 1) for i in range(30)]
