@@ -4,7 +4,7 @@ Words (letters, digits, non-ASCII bytes; A-Z lower-cased) become template tokens
 runs of capitalised words inside a sentence <name>, a unit after a number <unit>. Each window of ``WIDTH`` template
 tokens is hashed, in four forms: with names as placeholders; without regard to case with names as words; with number
 words as numbers; and with these and names also where they open a sentence (any capitalised word but ``OPENERS``).
-The
+Items too short or too full of placeholders for a window are matched by their words and numbers as they are. The
 windows of documents that a fixed-size sieve of the benchmark's windows lets pass are hash-joined with them.
 A document leaks an item if, at one alignment, windows that cover ``RUN`` starts of the item (all, if it has
 fewer) match, and their slots are consistent: equal values of the item stand for equal values of the document.
@@ -47,6 +47,7 @@ def _hashed(of: list[str]) -> np.ndarray:
 UNITS, NUMBERS, PLAIN = _hashed(UNIT_WORDS), _hashed(NUMBER_WORDS), _hashed(OPENERS)
 #: Forms: whether names are placeholders, also at a sentence's start, and whether number words are
 FORMS = [(True, False, False), (False, False, False), (True, True, True), (True, False, True)]
+LITERALLY = len(FORMS)  # the form of the words as they are
 _CAPITALS = np.array([c > 0xFF and (chr(c).isupper() or chr(c).istitle()) for c in range(1 << 17)])
 
 
@@ -64,7 +65,7 @@ def _letter(buf: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarra
 
 
 def templates(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each of FORMS: token hashes, slot values (0: a literal word) and rows."""
+    """For each of FORMS and the literal one: token hashes, slot values (0: a literal word) and rows."""
     start, end, row = words(buf, off, _BETWEEN)
     h = Rolling(buf, SALT_LOWER).of(start, end)
     n = len(h)
@@ -93,6 +94,7 @@ def templates(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np
         value = np.add.reduceat(mix(h), at) if n else h
         first = kind[at]
         yield np.where(first > 0, _MARK[first], h[at]), np.where(first > 0, value | np.uint64(1), np.uint64(0)), row[at]
+    yield h, np.zeros(n, np.uint64), row
 
 
 def windows(token: np.ndarray, slot: np.ndarray, row: np.ndarray, width: int, form: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,16 +120,21 @@ def _rows(ids: pa.Array, i: int, form: int, row: np.ndarray, slot: np.ndarray, a
 
 
 def item_windows(items: DataFrame, least_words: int) -> DataFrame:
-    """Windows of items(id, text); one of fewer than WIDTH tokens is one window of its own length."""
+    """Windows of items(id, text); one of fewer than WIDTH tokens is one window of its own length. The literal form only where no other has a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, buf, off in blocks(batch["text"]):
+                has = np.zeros(j - i, bool)
                 for form, (token, slot, row) in enumerate(templates(buf, off)):
                     count = np.bincount(row, minlength=j - i)
                     for width in range(max(least_words, 1), WIDTH + 1):
                         at, h = windows(token, slot, row, width, form)
                         keep = np.ones(len(at), bool) if width == WIDTH else count[row[at]] == width
+                        if form == LITERALLY:
+                            keep &= ~has[row[at]]
+                        else:
+                            has[row[at[keep]]] = True
                         yield _rows(batch["id"], i, form, row, slot, at[keep], h[keep], width)
 
     return items.mapInArrow(run, _WINDOW)
@@ -137,8 +144,10 @@ def leaks(docs: DataFrame, items: DataFrame, least_words: int = 3) -> DataFrame:
     """doc_id, item_id, n_matched, n_windows, exact for each document that holds an item of the benchmark.
 
     docs(doc_id, text), items(item_id, text). n_windows: the item's window starts; n_matched: those found, in the
-    best form and alignment; exact: all slots of them have the item's values. Null and empty texts, and items of
-    fewer than least_words template tokens, leak nothing. Null identifiers count as one and come back as null;
+    best form and alignment; exact: all slots of them have the item's values. An item without
+    a window (fewer than least_words template tokens, or too few literal words in each window) leaks where its words and numbers
+    stand as they are, all of them and in order; asked again with other numbers it is out of reach. Null and empty
+    texts, and items of fewer than least_words words, numbers counted each, leak nothing. Null identifiers count as one and come back as null;
     repeated rows give one result row; other columns are ignored.
     """
     asked = written(item_windows(items.select(with_id("item_id").alias("id"), "text").where("text is not null"), least_words))
@@ -168,7 +177,7 @@ def leaks(docs: DataFrame, items: DataFrame, least_words: int = 3) -> DataFrame:
         F.size(F.array_distinct(F.flatten(F.collect_list("ps")))).alias("n_matched"),
     )
     found = runs.where("consistent").join(per_item.withColumnRenamed("id", "item_id"), ["item_id", "form"])
-    found = found.where(F.col("n_matched") >= F.least(F.lit(RUN), F.col("n_windows")))
+    found = found.where(F.col("n_matched") >= F.when(F.col("form") == LITERALLY, F.col("n_windows")).otherwise(F.least(F.lit(RUN), F.col("n_windows"))))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", "exact", "n_windows")).alias("x"))
     return best.select("doc_id", "item_id", F.col("x.n_matched").cast("long").alias("n_matched"), F.col("x.n_windows").cast("long").alias("n_windows"), F.col("x.exact").alias("exact"))
 

@@ -222,6 +222,14 @@ def test_leaks_of_items_that_start_with_names(spark):
     assert sorted((r.doc_id, r.item_id, r.exact) for r in got) == [(1, 1, False), (2, 1, False), (3, 2, False), (4, 3, False), (5, 4, True)]
 
 
+def test_leaks_without_windows(spark):
+    """Items of few template tokens leak where their words and numbers stand as they are."""
+    items = [(1, "Compute 17 * 23 + 45 - 6"), (2, "Solve 2x + 3y"), (3, " ".join(map(str, range(40)))), (4, "Add 5 km, 7 km, 9 km, 11 km and 13 km")]
+    d = [(10 * i + 1, f"So: {t.lower()}. Done") for i, t in items] + [(12, "Compute 17 * 23 + 45 - 7"), (22, "Solve 2x + 4y"), (32, " ".join(map(str, range(39)))), (42, "5 km 7 km 9 km 11 km and 13 km")]
+    got = decontaminate.leaks(spark.createDataFrame(d, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.exact, r.n_matched == r.n_windows) for r in got) == [(10 * i + 1, i, True, True) for i in (1, 2, 3, 4)]
+
+
 def test_toxicity(spark, none):
     clean = [(i, text(i), 0) for i in range(60)]
     toxic = [(100 + i, text(i + 500) + " you idiot and moron " + text(i + 900, 9), 1) for i in range(30)]
