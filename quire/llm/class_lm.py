@@ -1,14 +1,17 @@
 """Language-model scoring by Brown class-based bigrams.
 
-P(word | previous) = P(class | previous class) * P(unit | class) * P(word | unit). The ``WORDS`` most frequent
-training words are units of their own, the end token is one, and every other word belongs to the unit of its shape
-(a hash of its last two bytes). Units are put into classes by exchange clustering: each in turn is moved to the
-class that raises the likelihood of all class bigrams most. The statistics come from the whole training corpus:
-counts of all words and of all unit bigrams, combined on the map side; the driver only sees unit bigrams, at
-most (WORDS + SHAPES + 1)**2 numbers however large the corpus.
+P(word | previous) = P(class | previous class) * P(unit | class) * P(word | unit). Every training word
+of ``PLACED`` occurrences or more is a unit of its own, the end token is one, and rarer words belong to the unit of their
+shape (a hash of their last two bytes). The ``WORDS`` most frequent words, the end and the shapes are put into classes by
+exchange clustering: each in turn is moved to the class that raises the likelihood of all class bigrams most. Then all
+other words of their own are moved at once from their shape's class to the class under which their own bigrams are
+likeliest, by the classes of the words before and after them, counted in Spark. The class bigrams are counted again
+after that. The statistics come from the whole training corpus, combined on the map side; the driver sees unit
+bigrams, at most (WORDS + SHAPES + 1)**2 numbers, and three numbers for each word of its own.
 
 Words are 64-bit identifiers: 56 bits of a hash of the lower-cased bytes, and the shape. The counts of the
-``COUNTED`` most frequent words (2 MB) are broadcast; all rarer words get theirs by a join.
+``COUNTED`` most frequent words, and of all words of their own if those are more, are broadcast (24 bytes a word, so
+they grow with the types of PLACED occurrences, not with the tokens); all rarer words get theirs by a join.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from quire.llm.common import LOWER, SALT_LOWER, Rolling, blocks, mix, signed, table, words, written
 
-WORDS, SHAPES, COUNTED, CLASSES, ROUNDS = 2048, 256, 1 << 17, 64, 5
+WORDS, SHAPES, COUNTED, CLASSES, ROUNDS, PLACED = 2048, 256, 1 << 17, 64, 5, 5
 UNITS = WORDS + SHAPES + 1
 END_UNIT = UNITS - 1
 END = 1 << 62
@@ -53,7 +56,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Lexicon:
-    """Frequent words: sorted identifiers, counts and units."""
+    """Frequent words: sorted identifiers, counts and units. Units after END_UNIT are of words that were placed."""
 
     def __init__(self, h: np.ndarray, n: np.ndarray):
         first = [i for i in np.lexsort((h, -n)) if h[i] != END][:WORDS]
@@ -63,6 +66,10 @@ class Lexicon:
         order = np.argsort(h)
         self.h, self.n, self.unit = h[order], n[order], unit[order].astype(np.int64)
 
+    def place(self, h: np.ndarray) -> None:
+        """Words become units of their own."""
+        self.unit[np.searchsorted(self.h, h)] = END_UNIT + 1 + np.arange(len(h))
+
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Whether found, count (0 if not), unit."""
         if not len(self.h):
@@ -103,6 +110,75 @@ def unit_bigrams(docs: DataFrame, lexicon: Lexicon) -> np.ndarray:
     return out.reshape(UNITS, UNITS)
 
 
+def _log_move(pair: np.ndarray) -> np.ndarray:
+    share = (pair.sum(0) + 1) / (pair.sum() + CLASSES)
+    return np.log10((pair + BACK_OFF * share) / (pair.sum(1, keepdims=True) + BACK_OFF))
+
+
+def placed(docs: DataFrame, lexicon: Lexicon, of: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of PLACED occurrences beyond the WORDS most frequent, and the class of each: the likeliest of its bigrams."""
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon, of, _log_move(pair), np.log10(pair.sum(0) + 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, of, _, _ = shared.value
+        for batch in batches:
+            words_, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, j, buf, off in blocks(batch["text"]):
+                h, row = word_ids(buf, off)
+                _, count, unit = lexicon.find(h)
+                _, now, _ = sequence(unit, row, j - i)
+                at = np.arange(len(h)) + row
+                tail = (unit >= WORDS) & (count >= PLACED)
+                c = of[now]
+                before = np.where(at[tail] > 0, c[at[tail] - 1], of[END_UNIT])
+                words_ += [h[tail]] * 2
+                codes += [before, CLASSES + c[at[tail] + 1]]
+            h, code = np.concatenate(words_), np.concatenate(codes)
+            order = np.lexsort((code, h))
+            h, code = h[order], code[order]
+            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (code[1:] != code[:-1])])) if len(h) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(code[first].astype(np.int32)), pa.array(np.diff(np.concatenate([first, [len(h)]])))], names=["h", "code", "n"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, _, log_move, log_mass = shared.value
+        both = np.concatenate([log_move, log_move.T])  # from the class before; to the class after
+        for batch in batches:
+            lists = batch["cells"]
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            cells = lists.flatten()
+            code, n = cells.field("code").to_numpy(), cells.field("n").to_numpy()
+            counts = np.zeros((len(lists), 2 * CLASSES))
+            counts[row, code] = n
+            gain = counts @ both - counts[:, :CLASSES].sum(1, keepdims=True) * log_mass
+            gain[:, 0] = -np.inf  # the end's
+            yield pa.RecordBatch.from_arrays([batch["h"], pa.array(gain.argmax(1))], names=["h", "c"])
+
+    cells = docs.select("text").mapInArrow(run, "h long, code int, n long").groupBy("h", "code").agg(F.sum("n").alias("n"))
+    found = cells.groupBy("h").agg(F.collect_list(F.struct("code", "n")).alias("cells")).mapInArrow(choose, "h long, c long").toArrow()
+    order = np.argsort(found["h"].to_numpy())
+    return found["h"].to_numpy()[order], found["c"].to_numpy()[order]
+
+
+def class_bigrams(docs: DataFrame, lexicon: Lexicon, of: np.ndarray) -> np.ndarray:
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon, of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, of = shared.value
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            for i, j, buf, off in blocks(batch["text"]):
+                h, row = word_ids(buf, off)
+                prev, now, _ = sequence(lexicon.find(h)[2], row, j - i)
+                total += np.bincount(of[prev] * CLASSES + of[now], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["code", "n"])
+
+    cells = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CLASSES * CLASSES)
+    out[cells["code"].to_numpy()] = cells["n"].to_numpy()
+    return out.reshape(CLASSES, CLASSES)
+
+
 def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -157,15 +233,11 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
 class Model:
     """Broadcast with the lexicon: classes, log10 transition and emission probabilities, and what the shapes' words share."""
 
-    def __init__(self, lexicon: Lexicon, bigrams: np.ndarray, shapes: np.ndarray, total: int, types: int, once: int, twice: int):
+    def __init__(self, lexicon: Lexicon, of: np.ndarray, pair: np.ndarray, unit: np.ndarray, shapes: np.ndarray, total: int, types: int, once: int, twice: int):
         self.lexicon, self.total, self.types = lexicon, total, types
-        self.of = exchange(bigrams)
-        one = np.eye(CLASSES)[self.of]
-        pair, unit = one.T @ bigrams @ one, bigrams.sum(0)
-        share = (pair.sum(0) + 1) / (pair.sum() + CLASSES)
-        self.move = np.log10((pair + BACK_OFF * share) / (pair.sum(1, keepdims=True) + BACK_OFF))
-        mass, members = one.T @ unit, one.sum(0)
-        self.emit = np.log10((unit + EVEN) / (mass + EVEN * members)[self.of])
+        self.of, self.move = of, _log_move(pair)
+        mass, members = np.bincount(of, unit, CLASSES), np.bincount(of, minlength=CLASSES)
+        self.emit = np.log10((unit + EVEN) / (mass + EVEN * members)[of])
         #: Absolute discounting within a shape: what is taken from its known words is the unknown word's
         self.discount = once / (once + 2 * twice) if once and twice else 0.5
         self.shape_tokens, self.shape_types = shapes
@@ -178,7 +250,7 @@ class Model:
         s = np.clip(unit - WORDS, 0, SHAPES - 1)
         n, v = self.shape_tokens[s], self.shape_types[s]
         p = np.where(count > 0, count - self.discount, self.discount * v) / np.maximum(n, 1)
-        return np.where((unit < WORDS) | (unit == END_UNIT), 0.0, np.where(n > 0, np.log10(np.maximum(p, 1e-300)), 0.0))
+        return np.where((unit < WORDS) | (unit >= END_UNIT), 0.0, np.where(n > 0, np.log10(np.maximum(p, 1e-300)), 0.0))
 
 
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
@@ -186,14 +258,27 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     counts = written(word_counts(docs))
     total, types, once, twice = (x or 0 for x in counts.agg(F.sum("n"), F.count("*"), F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).first())
     top = counts.orderBy(F.desc("n"), "h").limit(COUNTED).toArrow()
+    if top.num_rows == COUNTED and top["n"][-1].as_py() >= PLACED:
+        top = counts.where(F.col("n") >= PLACED).toArrow()
     lexicon = Lexicon(top["h"].to_numpy().copy(), top["n"].to_numpy().copy())
+    bigrams = unit_bigrams(docs, lexicon)
+    of, unit = exchange(bigrams), bigrams.sum(0)
+    one = np.eye(CLASSES)[of]
+    pair = one.T @ bigrams @ one
+    h, c = placed(docs, lexicon, of, pair)
+    if len(h):
+        _, n, was = lexicon.find(h)
+        np.subtract.at(unit, was, n)
+        lexicon.place(h)
+        of, unit = np.concatenate([of, c]), np.concatenate([unit, n])
+        pair = class_bigrams(docs, lexicon, of)
     shape = np.zeros((2, SHAPES))
     tail = counts.where(F.col("h") != END).groupBy(F.col("h").bitwiseAND(SHAPES - 1).alias("s")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).toArrow()
     shape[:, tail["s"].to_numpy()] = tail["n"].to_numpy(), tail["v"].to_numpy()
-    alone = lexicon.unit < WORDS  # their counts are not the shape's
+    alone = (lexicon.unit < WORDS) | (lexicon.unit > END_UNIT)  # their counts are not the shape's
     np.subtract.at(shape[0], lexicon.h[alone] & (SHAPES - 1), lexicon.n[alone])
     np.subtract.at(shape[1], lexicon.h[alone] & (SHAPES - 1), 1)
-    return Model(lexicon, unit_bigrams(docs, lexicon), shape, total, types, once, twice), counts
+    return Model(lexicon, of, pair, unit, shape, total, types, once, twice), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:

@@ -136,6 +136,36 @@ def test_class_lm_sums_to_one(docs):
     assert np.allclose(emit[np.unique(model.of)], 1)
 
 
+def test_class_lm_places_words_beyond_the_most_frequent(spark):
+    """Words of the tail get classes by their neighbours, also where their shape tells nothing."""
+    import numpy as np
+
+    r = random.Random(3)
+    nouns, verbs = ([f"{k}{i}xx" for i in range(60)] for k in "nv")
+    said = [f"the {n} runs" for n in nouns for _ in range(12)] + [f"they {v} it" for v in verbs for _ in range(12)] + ["the nxx runs"] * 2
+    said += [t for i in range(10) for t in (f"the often{i} runs", f"they usual{i} it") for _ in range(60)]
+    r.shuffle(said)
+    data = [(i, t) for i, t in enumerate([*said, *(" ".join(r.sample([f"f{k}" for k in range(2100)], 2100)) for _ in range(40))])]
+    d = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    model, counts = class_lm.fit(d)
+    assert len(model.of) > class_lm.UNITS + 120 and model.lexicon.unit.max() == len(model.of) - 1
+    p, emit = 10**model.move, np.bincount(model.of, 10**model.emit, class_lm.CLASSES)
+    assert np.allclose(p.sum(1), 1) and np.allclose(emit[np.unique(model.of)], 1)
+    # under classes that tell the two apart, each tail word goes to the class of its like
+    ids = lambda ws: class_lm.word_ids(np.frombuffer(" ".join(ws).encode(), np.uint8), np.array([0, len(" ".join(ws))]))[0]
+    top = counts.orderBy("n", ascending=False).toArrow()
+    lexicon = class_lm.Lexicon(top["h"].to_numpy().copy(), top["n"].to_numpy().copy())
+    of = np.full(class_lm.UNITS, 7)
+    of[class_lm.END_UNIT] = 0
+    for k, ws in enumerate([["the"], ["runs"], [f"often{i}" for i in range(10)], ["they"], ["it"], [f"usual{i}" for i in range(10)]]):
+        of[lexicon.find(ids(ws))[2]] = k + 1
+    one = np.eye(class_lm.CLASSES)[of]
+    h, c = class_lm.placed(d, lexicon, of, one.T @ class_lm.unit_bigrams(d, lexicon) @ one)
+    got = dict(zip(h.tolist(), c.tolist(), strict=True))
+    assert [got[x] for x in ids(nouns).tolist()] == [3] * 60 and [got[x] for x in ids(verbs).tolist()] == [6] * 60
+    assert not set(ids(["nxx", "the"]).tolist()) & set(got)
+
+
 def jaccard(width, percent):
     s = {}
     for r in rows():
