@@ -7,7 +7,8 @@ whole: within a batch at once, across batches by a sort of the batches' first on
 several contexts: these contexts are sharded by anchor (frequent anchors over several shards), each shard's
 text gets a suffix array by Larsson-Sadakane refinement (only groups not yet sorted are sorted, by twice the depth,
 until none is left), common prefixes by Kasai's rule in all contexts at once, and from these the classes of equal
-windows. Windows of anchors that lie in several shards are merged across shards as sorted runs by binary search.
+windows. Windows of anchors that lie in several shards are grouped across shards by 128-bit fingerprints, shuffled and sorted
+anew; binary search only finds a row's group in that order.
 
 All judge the input: a window counts as repeated if it also starts earlier (smaller doc_id, or same document).
 """
