@@ -2,7 +2,9 @@
 
 1. language: texts without letters and of no sure language go. 2. exact copies: the smallest identifier stays.
 3. near copies (five words, similarity 0.8): one document of each group stays. 4. documents that hold an item of
-the benchmark go. 5. mixing: what is left, with the words that the mix takes of each document.
+the benchmark go. 5. mixing: what is left, with the words that the mix takes of each document. The mix is by column: every document that
+is left has its row, also one of which the budget takes nothing (taken = 0), without its text; the cut and the
+repeats are the columns taken and epochs, and who reads the mix joins the texts by doc_id and leaves out taken = 0.
 """
 
 from __future__ import annotations
