@@ -1,7 +1,8 @@
 """What the operators of this subpackage share: shared-folder tables, blocks of UTF-8 bytes, vectorised words and hashes.
 
 Text work is done on Arrow buffers: a batch of texts is one byte array with offsets, cut into blocks of
-about ``BLOCK`` bytes (a longer text is a block of its own), so memory does not depend on the batch size.
+about ``BLOCK`` bytes (a longer text is a block of its own), so memory does not depend on the batch size. Batches are
+of ``BATCH`` bytes, where the session leaves Spark's default, as the JVM and the worker each hold one.
 Identifiers may be null: joins use ``NO_ID`` in their place and give null back.
 """
 
@@ -19,20 +20,32 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK = 1 << 20
+BLOCK, BATCH = 1 << 19, 8 << 20
 NO_ID = -(2**63)
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of BATCH bytes if it has Spark's default of 64 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == f"{64 << 20}b":
+        spark.conf.set(key, f"{BATCH}b")
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests), under a local temporary folder."""
+    """A new folder under spark.checkpoint.dir. Only where that is unset and the master is local (tests) it is under a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir() if hasattr(spark, "sparkContext") else None
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{_local()}"
     return f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
 
@@ -47,17 +60,43 @@ def _local() -> str:
     return _LOCAL[0]
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder: cuts lineage and survives the loss of executors."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    spark, path = df.sparkSession, path or shared_dir(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that only a result needs: all of them are deleted once the result is a table itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = bounded(spark), []
+
+    def written(self, df: DataFrame) -> DataFrame:
+        self.paths.append(shared_dir(self.spark))
+        return written(df, self.paths[-1])
+
+    def done(self, df: DataFrame) -> DataFrame:
+        out = written(df)
+        self.clear()
+        return out
+
+    def clear(self) -> None:
+        while self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def with_id(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col).cast("long"), F.lit(NO_ID))
 
 
+def text_digest(text: Column | None = None) -> Column:
+    """SHA-256 of a text's UTF-8 bytes (null: empty), 32 bytes."""
+    return F.unhex(F.sha2(F.coalesce(F.col("text") if text is None else text, F.lit("")).cast("binary"), 256))
+
+
 def given_id(col: str = "doc_id") -> Column:
     return F.when(F.col(col) != NO_ID, F.col(col)).alias(col)
 
@@ -165,11 +204,6 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Rows dealt by columns over spark.sql.shuffle.partitions, for a Python stage of much work per byte."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
-
-
 class Sieve:
     """A set of 64-bit keys as bits: no false negatives. 16 bits a key, at most ``MOST`` bits (8 MB) whatever the number of keys."""
 
@@ -207,11 +241,49 @@ def sieve(keys: DataFrame, col: str) -> Sieve:
     return Sieve(bits.view(np.uint64))
 
 
+CELLS = 1 << 18
+
+
+def parted(df: DataFrame, gone: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """df as (rows whose cols may be a row of gone, rows whose cols are not); none of cols is null.
+
+    A bit set of the hashes of gone, 16 bits a row and at most ``CELLS`` cells of 64 bits whatever the rows (about 10 MB), is
+    broadcast as a table, so this is one JVM stage without an exchange of df. More rows of gone let more of df pass as may be.
+    """
+    cells, n = 1 << 4, gone.count()
+    while cells < CELLS and 64 * cells < 16 * n:
+        cells *= 2
+    h = lambda: F.xxhash64(*cols).bitwiseAND(64 * cells - 1)
+    at, bit = F.shiftright(F.col("quire hash"), 6), F.col("quire hash").bitwiseAND(63).cast("int")
+    bits = gone.select(h().alias("quire hash")).distinct().groupBy(at.alias("quire at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(`quire hash` & 63 as int))")).alias("quire bits"))
+    joined = df.withColumn("quire hash", h()).join(F.broadcast(bits), at == F.col("quire at"), "left")
+    may = F.coalesce(F.getbit("quire bits", bit), F.lit(0)) == 1
+    return joined.where(may).select(df.columns), joined.where(~may).select(df.columns)
+
+
+def anti(df: DataFrame, gone: DataFrame, cols: list[str]) -> DataFrame:
+    """df without the rows whose cols (none null) are a row of gone. Only rows that may be among them meet gone in a join."""
+    may, not_ = parted(df, gone, cols)
+    return not_.union(may.join(gone.select(cols).distinct(), cols, "left_anti").select(df.columns))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but for the rows of gone(doc_id, digest): an identifier (NO_ID for null) and the text's digest, so no other text goes.
+
+    Only rows whose identifier may be in gone meet it in a join, with their texts; all others stay on the map side.
+    """
+    gone = gone.select(F.col("doc_id").alias("quire id"), F.col("digest").alias("quire digest")).distinct()
+    may, not_ = parted(docs.withColumn("quire id", with_id()), gone, ["quire id"])
+    left = may.withColumn("quire digest", text_digest()).join(gone, ["quire id", "quire digest"], "left_anti")
+    return not_.select(docs.columns).union(left.select(docs.columns))
+
+
 LANES = 64
 
 
-def lane(col: str = "doc_id") -> Column:
-    return F.pmod(F.xxhash64(col), F.lit(LANES)).cast("int").alias("lane")
+def lane(*cols: str) -> Column:
+    """Of a row's identifier and a hash of its content, so that rows without identifiers have several lanes too."""
+    return F.pmod(F.xxhash64(*cols), F.lit(LANES)).cast("int").alias("lane")
 
 
 def lane_groups(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
@@ -225,18 +297,19 @@ def lane_groups(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame,
     return runs.select("lane", *keys), groups
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """links (a, b) of longs to (id, c): the smallest identifier that each linked one reaches.
 
     Smallest labels spread along links and are then shortened by pointer jumping; each round is a written table.
     """
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("c")))
+    keep = scratch.written if scratch else written
+    both = keep(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("c")))
     while True:
         near = both.join(labels, both["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
-        better = written(labels.join(near, "id").select("id", F.least("c", "m").alias("c"), F.col("c").alias("was")))
+        better = keep(labels.join(near, "id").select("id", F.least("c", "m").alias("c"), F.col("c").alias("was")))
         up = better.select(F.col("id").alias("i"), F.col("c").alias("up"))
-        jumped = written(better.join(up, better["c"] == up["i"], "left").select("id", F.least("c", F.coalesce("up", "c")).alias("c"), "was"))
+        jumped = keep(better.join(up, better["c"] == up["i"], "left").select("id", F.least("c", F.coalesce("up", "c")).alias("c"), "was"))
         labels = jumped.select("id", "c")
         if jumped.where("c <> was").isEmpty():
             return labels

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import SALT_LOWER, Rolling, blocks, given_id, mix, sieve, signed, table, with_id, words, written
+from quire.llm.common import SALT_LOWER, Rolling, blocks, given_id, mix, sieve, signed, table, text_digest, with_id, without, words, written
 
 WIDTH, RUN, LITERAL = 8, 5, 4
 # Units that count as such after a number.
@@ -109,7 +109,7 @@ def windows(token: np.ndarray, slot: np.ndarray, row: np.ndarray, width: int, fo
     return at, mix(h[at])
 
 
-_WINDOW = "id long, form int, pos int, h long, slots array<long>"
+_WINDOW = "id {}, form int, pos int, h long, slots array<long>"
 
 
 def _rows(ids: pa.Array, i: int, form: int, row: np.ndarray, slot: np.ndarray, at: np.ndarray, h: np.ndarray, width: int) -> pa.RecordBatch:
@@ -137,7 +137,7 @@ def item_windows(items: DataFrame, least_words: int) -> DataFrame:
                             has[row[at[keep]]] = True
                         yield _rows(batch["id"], i, form, row, slot, at[keep], h[keep], width)
 
-    return items.mapInArrow(run, _WINDOW)
+    return items.mapInArrow(run, _WINDOW.format("long"))
 
 
 def leaks(docs: DataFrame, items: DataFrame, least_words: int = 3) -> DataFrame:
@@ -150,6 +150,11 @@ def leaks(docs: DataFrame, items: DataFrame, least_words: int = 3) -> DataFrame:
     texts, and items of fewer than least_words words, numbers counted each, leak nothing. Null identifiers count as one and come back as null;
     repeated rows give one result row; other columns are ignored.
     """
+    return _leaks(docs.select(with_id().alias("id"), "text"), items, least_words)
+
+
+def _leaks(docs: DataFrame, items: DataFrame, least_words: int = 3) -> DataFrame:
+    """leaks of docs(id, text); the doc_id that it returns is id, of any type."""
     asked = written(item_windows(items.select(with_id("item_id").alias("id"), "text").where("text is not null"), least_words))
     sizes = sorted(tuple(r) for r in asked.select("form", F.size("slots").alias("n")).distinct().collect())  # WIDTH for each form at most
     shared = docs.sparkSession.sparkContext.broadcast((sieve(asked, "h"), sizes))
@@ -164,7 +169,7 @@ def leaks(docs: DataFrame, items: DataFrame, least_words: int = 3) -> DataFrame:
                         keep = known.has(h)
                         yield _rows(batch["id"], i, form, row, slot, at[keep], h[keep], width)
 
-    seen = docs.select(with_id().alias("id"), "text").where("text is not null").mapInArrow(run, _WINDOW)
+    seen = docs.where("text is not null").mapInArrow(run, _WINDOW.format(docs.schema["id"].dataType.simpleString()))
     per_item = asked.groupBy("id", "form").agg(F.countDistinct("pos").alias("n_windows"))
     a = asked.select(F.col("id").alias("item_id"), "form", F.col("pos").alias("p"), "h", F.col("slots").alias("asked"))
     b = seen.select(F.col("id").alias("doc_id"), "form", F.col("pos").alias("q"), "h", "slots")
@@ -189,9 +194,8 @@ def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without those that hold an item. A row goes by its identifier and its text, so rows of null or repeated identifiers are judged each."""
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
-    gone = leaks(rows, items).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.xxhash64(docs["doc_id"], docs["text"]) == gone["gone"], "left_anti")
+    rows = docs.select(F.struct(with_id().alias("doc_id"), text_digest().alias("digest")).alias("id"), "text")
+    return without(docs, written(_leaks(rows, items).select("doc_id.doc_id", "doc_id.digest").distinct()))
 
 
 ORACLE_SQL: dict[str, str] = {}

@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import NO_ID, given_id, lower_ascii, table, with_id, written
+from quire.llm.common import Scratch, given_id, lower_ascii, parted, table, text_digest, with_id, without, written
 
 RADIX, ROUNDS = 8, 2
 LANES = RADIX**ROUNDS
@@ -58,14 +58,6 @@ def merge_runs(batches: Iterator[pa.RecordBatch], largest: bool) -> Iterator[pa.
         yield carry
 
 
-def _digest(docs: DataFrame) -> Column:
-    return F.unhex(F.sha2(lower_ascii(F.coalesce(docs["text"], F.lit(""))).cast("binary"), 256))
-
-
-def _id(docs: DataFrame) -> Column:
-    return F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
-
-
 def tree_merge(runs: DataFrame, largest: bool) -> DataFrame:
     """runs (lane, digest, keep_id, n, n_bytes) to one row per digest."""
     for r in range(ROUNDS):
@@ -85,13 +77,17 @@ def exact_groups(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     counts as below all others. Of repeated rows of one identifier and text all have kept = true or none; other
     columns of docs are ignored. An empty table gives an empty result.
     """
-    largest = keep == "largest"
+    scratch = Scratch(docs.sparkSession)
+    return scratch.done(_groups(docs, keep == "largest", scratch))
+
+
+def _groups(docs: DataFrame, largest: bool, scratch: Scratch) -> DataFrame:
     text = lower_ascii(F.coalesce(F.col("text"), F.lit("")))
-    hashed = docs.select(with_id().alias("doc_id"), _digest(docs).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes")).withColumn("lane", F.pmod(F.xxhash64("doc_id"), F.lit(LANES)).cast("int"))
-    hashed = written(hashed)
+    hashed = docs.select(with_id().alias("doc_id"), text_digest(text).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes")).withColumn("lane", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(LANES)).cast("int"))
+    hashed = scratch.written(hashed)
     pick = F.max if largest else F.min
     runs = hashed.groupBy("lane", "digest", "n_bytes").agg(pick("doc_id").alias("keep_id"), F.count("*").alias("n"))
-    merged = written(tree_merge(runs, largest))
+    merged = scratch.written(tree_merge(runs, largest))
     shared = merged.where("n > 1").select("digest", "keep_id", "n")
     # back along the lanes: only digests of several rows travel, one row for each lane that holds them
     lanes = runs.select("lane", "digest").join(shared, "digest")
@@ -111,16 +107,26 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     A row goes by its identifier and its text, so another text of the same identifier stays. Repeated rows of one
     identifier and text stay once; a null identifier is one identifier, below all others.
     """
-    groups = written(exact_groups(docs).where("group_size > 1").select("doc_id", F.unhex("text_sha256").alias("digest"), "kept"))
-    gone = groups.where("not kept").select("doc_id", "digest").distinct()
-    left = docs.join(gone, (_id(docs) == gone["doc_id"]) & (_digest(docs) == gone["digest"]), "left_anti").select(docs.columns)
-    repeated = groups.where("kept").groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest")
-    if repeated.isEmpty():
-        return left
-    repeated = written(repeated)
-    same = (_id(left) == repeated["doc_id"]) & (_digest(left) == repeated["digest"])
-    once = left.join(repeated, same, "left_semi").withColumn("quire digest", _digest(left)).dropDuplicates(["doc_id", "quire digest"]).select(docs.columns)
-    return left.join(repeated, same, "left_anti").select(docs.columns).unionByName(once)
+    raw = F.coalesce(F.col("text"), F.lit(""))
+    scratch = Scratch(docs.sparkSession)
+    # of the rows of the identifier that stays, the text with the smallest digest stays
+    groups = scratch.written(_groups(docs, False, scratch).where("group_size > 1").select("doc_id", F.unhex("text_sha256").alias("same"), "kept").distinct())
+    keyed = docs.select(with_id().alias("doc_id"), "text")
+    rows = parted(keyed, groups, ["doc_id"])[0].select("doc_id", text_digest(lower_ascii(raw)).alias("same"), text_digest().alias("digest")).groupBy("doc_id", "same", "digest").agg(F.count("*").alias("n"))
+    rows = scratch.written(rows.join(groups, ["doc_id", "same"]))
+    stays = rows.where("kept").groupBy("doc_id", "same").agg(F.min("digest").alias("digest"))
+    gone = written(rows.join(stays, ["doc_id", "same", "digest"], "left_anti").select("doc_id", "digest"))
+    again = written(rows.join(stays, ["doc_id", "same", "digest"], "left_semi").where("n > 1").select("doc_id", "digest"))
+    scratch.clear()
+    out = without(docs, gone)
+    if again.isEmpty():
+        return out
+    rest = without(out, again)
+    key = ["quire id", "quire digest"]
+    again = again.select(F.col("doc_id").alias("quire id"), F.col("digest").alias("quire digest"))
+    may = parted(out.withColumn("quire id", with_id()), again, ["quire id"])[0].withColumn("quire digest", text_digest())
+    once = may.join(again, key, "left_semi").dropDuplicates(key)
+    return rest.union(once.select(docs.columns))
 
 
 ORACLE_SQL = {

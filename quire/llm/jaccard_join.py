@@ -5,13 +5,15 @@ are ordered by (frequency level, hash): shingles counted as frequent come last;
 right, so the table of frequent shingles may be bounded. Two sets that link share a shingle in their prefixes, at
 positions that leave room for the overlap they need. Documents of equal prefix and size are one group.
 
-A group of thousands of near copies would make the square of its size in pairs. So candidates come in two
-rounds: first each document is compared with its group's first member and each group with one leader, the
-document that stands first in most of the prefix lists they share. The links found give components. Then every
-pair of the remaining candidates whose ends lie in different components is compared, whole. A link between
+A passage that some documents share gives each of its shingles the same list of documents, so lists of equal
+members are one list from then on, with each member's first position in it. A group of thousands of near copies
+would make the square of its size in pairs. So candidates come in rounds of stars: each document is compared with
+its group's first member and with one leader, the document that stands first in most of the prefix entries they share;
+the links found give components, and documents are compared with their other lists' leaders in other components. Then
+every pair of the remaining candidates whose ends lie in different components is compared, whole. A link between
 documents that are connected already would not change a component, so none is lost.
 
-Comparisons first bound the overlap by the histograms of both sets, then intersect the whole sets.
+Comparisons first bound the overlap by the histograms of both sets, of a cell for ``LOAD`` hashes, then intersect the whole sets.
 """
 
 from __future__ import annotations
@@ -23,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import NO_ID, SALT_LOWER, Rolling, blocks, components, given_id, lane, lane_groups, mix, sieve, signed, table, with_id, words, written
+from quire.llm.common import SALT_LOWER, Rolling, Scratch, anti, blocks, components, given_id, lane, lane_groups, mix, parted, sieve, signed, table, text_digest, with_id, without, words
 
-CELLS, HEAVY, LOCAL = 64, 1 << 18, 4
+LOAD, HEAVY, LOCAL = 4, 1 << 18, 4
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +74,22 @@ def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], np.log2(n[order]).astype(np.uint64)
 
 
+def histograms(h: np.ndarray, row: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of n hashes each: 16-bit counts by the first bits of the hash, a power of two of cells for each row, and where its bytes end."""
+    bits = np.maximum(np.ceil(np.log2(np.maximum(n / LOAD, 1))).astype(np.int64), 5)
+    begin = np.concatenate([[0], np.cumsum(1 << bits)])
+    cell = begin[row] + (h >> (64 - bits[row]).astype(np.uint64)).astype(np.int64)
+    return np.bincount(cell, minlength=begin[-1]).astype(np.uint16), 2 * begin
+
+
+def most_common(x: bytes, y: bytes) -> tuple[int, int]:
+    """Of two sets' histograms: at most so many hashes are in both, at least so many in either."""
+    a, b = np.frombuffer(x, np.uint16).astype(np.int64), np.frombuffer(y, np.uint16).astype(np.int64)
+    cells = min(len(a), len(b))
+    both = int(np.minimum(a.reshape(cells, -1).sum(1), b.reshape(cells, -1).sum(1)).sum())
+    return both, int(a.sum() + b.sum()) - both
+
+
 def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, n (set size), s1, s2 (of the whole set), prefix, cells (histogram) for each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, width))
@@ -94,12 +112,12 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 order = np.lexsort((h, lev, row))
                 length = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
                 rank = np.arange(len(h)) - begin[row]
-                cells = np.bincount(row * CELLS + (h >> np.uint64(58)).astype(np.int64), minlength=rows * CELLS).astype(np.uint32).tobytes()
+                cells, ends = histograms(h, row, n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["doc_id"][i:j], pa.array(n), pa.array(s1), pa.array(s2),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(signed(h[order][rank < length[row]]))),
-                        pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * CELLS), rows, [None, pa.py_buffer(cells)]).cast(pa.binary()),
+                        pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(cells)]),
                     ],
                     names=names,
                 )
@@ -107,12 +125,12 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>, cells binary")
 
 
-def shared_tokens(reps: DataFrame) -> DataFrame:
+def shared_tokens(reps: DataFrame, scratch: Scratch) -> DataFrame:
     """id, n, p (position), t of the prefix entries of reps, but for those that only one prefix has: most of them.
 
     The counting pass deals out tokens alone. What it finds is a fixed-size sieve, which lets others pass but loses none.
     """
-    often = written(reps.select(F.explode("prefix").alias("t")).groupBy("t").agg(F.count("*").alias("k")).where("k > 1").select("t"))
+    often = scratch.written(reps.select(F.explode("prefix").alias("t")).groupBy("t").agg(F.count("*").alias("k")).where("k > 1").select("t"))
     shared = reps.sparkSession.sparkContext.broadcast(sieve(often, "t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,15 +167,15 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[np.minimum(at, len(y) - 1)] == x).sum())
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) that link. Repeated identifiers (rows of equal doc_id) are compared each."""
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Those pairs (a, b) that link, a table. Repeated identifiers (rows of equal doc_id) are compared each."""
+    pairs = scratch.written(pairs)
+    ids = scratch.written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint32).reshape(-1, CELLS).astype(np.int64) for c in ("ca", "cb"))
-                both = np.minimum(x, y).sum(1)
-                yield batch.select(["a", "b"]).filter(pa.array(100 * both >= percent * (x.sum(1) + y.sum(1) - both)))
+            keep = [100 * both >= percent * either for both, either in map(most_common, batch["ca"].to_pylist(), batch["cb"].to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,13 +187,13 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, per
                 keep[k] = 100 * both >= percent * (len(x) + len(y) - both)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    cells = reps.select("id", "cells")
+    cells = parted(reps.select("id", "cells"), ids, ["id"])[0]
     near = pairs.join(cells.withColumnsRenamed({"id": "a", "cells": "ca"}), "a").join(cells.withColumnsRenamed({"id": "b", "cells": "cb"}), "b")
-    near = written(near.mapInArrow(bound, "a long, b long"))
+    near = scratch.written(near.mapInArrow(bound, "a long, b long").distinct())
     sets = sets_of(docs, near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width)
     # b first: it is the side that few pairs share; a (a leader) may be in many, whose join splits
     full = near.join(sets.withColumnsRenamed({"id": "b", "set": "sb"}), "b").join(sets.withColumnsRenamed({"id": "a", "set": "sa"}), "a")
-    return full.mapInArrow(whole, "a long, b long").distinct()
+    return scratch.written(full.mapInArrow(whole, "a long, b long").distinct())
 
 
 def _room(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Column:
@@ -193,54 +211,69 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     only. Other columns are ignored. Empty tables give empty results.
     """
     docs = docs.select(with_id().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = written(sketches(docs, width, percent).withColumn("lane", lane()))
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.written(sketches(docs, width, percent).withColumn("lane", lane("doc_id", "s1")))
     key = ["n", "s1", "s2"]
-    lanes, groups = lane_groups(rows.where("n > 0"), key, "doc_id")
-    firsts = groups.select(*key, "first")
-    copies = written(lanes.join(firsts, key))
-    tagged = rows.where("n > 0").join(copies, ["lane", *key], "left")
-    # the lane follows from the identifier; named as a key, it lets the join's exchange serve
-    reps = written(tagged.where(F.col("first").isNull() | (F.col("first") == F.col("doc_id"))).dropDuplicates(["doc_id", "lane", *key]).select(F.col("doc_id").alias("id"), "n", "prefix", "cells", F.xxhash64("n", "prefix").alias("g"), lane()))
+    full = rows.where("n > 0")
+    lanes, groups = lane_groups(full, key, "doc_id")
+    copies = scratch.written(lanes.join(groups.select(*key, "first"), key))
+    # only rows that may have copies meet them in a join, with their prefixes
+    may, alone = parted(full, copies, ["s1"])
+    firsts = may.join(copies, ["lane", *key], "left").where("first is null or first = doc_id").dropDuplicates(["doc_id", "lane", *key])
+    rep = [F.col("doc_id").alias("id"), "lane", "n", "prefix", "cells"]
+    reps = alone.select(rep).union(scratch.written(firsts.select(rep)))
     # groups of equal size and prefix, named by their first member
-    g_lanes, g_groups = lane_groups(reps, ["g"], "id")
-    members = written(reps.select("id", "lane", "g").join(written(g_lanes.join(g_groups.select("g", "first"), "g")), ["lane", "g"]).select("id", F.col("first").alias("gid")))
+    grouped = reps.select("id", "lane", F.xxhash64("n", "prefix").alias("g"))
+    g_lanes, g_groups = lane_groups(grouped, ["g"], "id")
+    g_first = scratch.written(g_lanes.join(g_groups.select("g", "first"), "g"))
+    members = scratch.written(grouped.join(g_first, ["lane", "g"]).select("id", F.col("first").alias("gid")))
     inside = members.where("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b"))
-    lists = shared_tokens(reps).join(members.where("id <> gid"), "id", "left_anti")
-    leader = F.min(F.struct("p", "id", "n")).alias("l")
-    leaders = written(lists.groupBy("t").agg(leader, F.count("*").alias("k")).where("k > 1").select("t", F.col("l.id").alias("lid"), F.col("l.p").alias("lp"), F.col("l.n").alias("ln")))
-    lists = written(lists.join(leaders, "t"))
-    star = lists.where((F.col("id") != F.col("lid")) & _room(F.col("n"), F.col("p"), F.col("ln"), F.col("lp"), percent))
-    best = star.groupBy("id", "lid").agg(F.count("*").alias("k")).groupBy("id").agg(F.max_by("lid", F.struct("k", -F.col("lid"))).alias("a"))
-    first_round = written(inside.unionByName(best.select("a", F.col("id").alias("b"))))
-    links = written(verified(first_round, reps, docs, width, percent))
-    labels = components(links)
-    # what is left: pairs of groups, expanded to members that lie in different components
+    others = members.where("id <> gid").select("id").distinct()
+    entries = scratch.written(shared_tokens(anti(reps, others, ["id"]), scratch))
+    # lists of the same documents are one list; should two different ones share its number, it has the pairs of both
+    sign = F.xxhash64("id", F.lit(1)).bitwiseAND((1 << 31) - 1)
+    numbers = entries.groupBy("t").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(sign).alias("y")).where("k > 1").select("t", F.xxhash64("k", "x", "y").alias("l"))
+    lists = scratch.written(entries.join(numbers, "t").groupBy("l", "id", "n").agg(F.min("p").alias("p"), F.count("*").alias("w")))
+    leaders = lists.groupBy("l").agg(F.min(F.struct("p", "id", "n")).alias("first"), F.count("*").alias("k")).where("k > 1")
+    lists = scratch.written(lists.join(leaders.select("l", F.col("first.id").alias("lid"), F.col("first.p").alias("lp"), F.col("first.n").alias("ln")), "l"))
+    star = scratch.written(lists.where((F.col("id") != F.col("lid")) & _room(F.col("n"), F.col("p"), F.col("ln"), F.col("lp"), percent)).groupBy("lid", "id").agg(F.sum("w").alias("w")))
+    best = star.groupBy("id").agg(F.max_by("lid", F.struct("w", -F.col("lid"))).alias("a"))
+    first_round = scratch.written(inside.union(best.select("a", F.col("id").alias("b"))))
+    links = verified(first_round, reps, docs, width, percent, scratch)
+    labels = components(links, scratch)
     c = lambda df, i, name: df.join(labels.withColumnsRenamed({"id": i, "c": name}), i, "left").withColumn(name, F.coalesce(name, i))
+    # the other leaders of each document
+    second_round = scratch.written(c(c(star.select(F.col("lid").alias("a"), F.col("id").alias("b")), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b").join(first_round, ["a", "b"], "left_anti"))
+    if not second_round.isEmpty():
+        links = links.union(verified(second_round, reps, docs, width, percent, scratch))
+        labels = components(links, scratch)
+    # what is left: pairs of groups of which neither leads, or that have more members than the leaders have met
     of_member = c(members, "id", "c")
     of_group = of_member.groupBy("gid").agg(F.min("c").alias("c1"), F.max("c").alias("c2"))
-    ranged = lists.join(of_group.withColumnRenamed("gid", "id"), "id", "left")
-    ranged = c(ranged, "id", "own").withColumn("c1", F.coalesce("c1", "own")).withColumn("c2", F.coalesce("c2", "own")).drop("own", "lid", "lp", "ln")
-    ranged = written(ranged)
-    mixed = written(ranged.groupBy("t").agg(F.min("c1").alias("lo"), F.max("c2").alias("hi")).where("lo <> hi").select("t"))
-    open_ = written(ranged.join(mixed, "t"))
-    x, y = (open_.select("t", *(F.col(k).alias(k + s) for k in ("id", "n", "p", "c1", "c2"))) for s in ("x", "y"))
+    ranged = lists.join(of_group.withColumnRenamed("gid", "id"), "id", "left").withColumn("several", F.col("c1").isNotNull()).withColumn("leads", F.col("id") == F.col("lid"))
+    ranged = scratch.written(c(ranged, "id", "own").withColumn("c1", F.coalesce("c1", "own")).withColumn("c2", F.coalesce("c2", "own")).drop("own", "lid", "lp", "ln", "w"))
+    mixed = ranged.groupBy("l").agg(F.min("c1").alias("lo"), F.max("c2").alias("hi"), F.count("*").alias("k"), F.bool_or("several").alias("s")).where("lo <> hi and (k > 2 or s)").select("l")
+    open_ = scratch.written(ranged.join(mixed, "l"))
+    x, y = (open_.select("l", *(F.col(k).alias(k + s) for k in ("id", "n", "p", "c1", "c2", "several", "leads"))) for s in ("x", "y"))
     apart = (F.col("c1x") != F.col("c2x")) | (F.col("c1y") != F.col("c2y")) | (F.col("c1x") != F.col("c1y"))
     order = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("idx") < F.col("idy")))
-    heads_left = written(x.join(y, "t").where(order & apart & _room(F.col("nx"), F.col("px"), F.col("ny"), F.col("py"), percent)).select(F.col("idx").alias("gx"), F.col("idy").alias("gy")).distinct())
+    unmet = F.col("severalx") | F.col("severaly") | ~(F.col("leadsx") | F.col("leadsy"))
+    met = x.join(y, "l").where(order & apart & unmet & _room(F.col("nx"), F.col("px"), F.col("ny"), F.col("py"), percent))
+    heads_left = scratch.written(met.select(F.col("idx").alias("gx"), F.col("idy").alias("gy")).distinct())
     all_members = of_member.select("gid", "id", "c")
     ends = lambda df, g, i, name: df.join(all_members.withColumnsRenamed({"gid": g, "id": i, "c": name}), g, "left").withColumn(i, F.coalesce(i, g))
     cross = ends(ends(heads_left, "gx", "a", "ca"), "gy", "b", "cb").select("a", "b")
     within = all_members.join(of_group.where("c1 <> c2").select("gid"), "gid", "left_semi")
     within = within.select("gid", F.col("id").alias("a"), F.col("c").alias("ca")).join(within.select("gid", F.col("id").alias("b"), F.col("c").alias("cb")), "gid").where("a < b and ca <> cb").select("a", "b")
-    left = c(c(cross.unionByName(within).distinct(), "a", "ca"), "b", "cb").where("ca <> cb")
-    left = written(left.join(first_round, ["a", "b"], "left_anti").select("a", "b"))
+    left = c(c(cross.union(within).distinct(), "a", "ca"), "b", "cb").where("ca <> cb")
+    left = scratch.written(left.join(first_round, ["a", "b"], "left_anti").select("a", "b"))
     if not left.isEmpty():
-        labels = components(written(links.unionByName(verified(left, reps, docs, width, percent))))
+        labels = components(links.union(verified(left, reps, docs, width, percent, scratch)), scratch)
     # back to all rows, along the lanes
-    named = written(c(reps.select(F.col("id"), "n"), "id", "c").select("id", "c"))
+    named = c(reps.select("id"), "id", "c").select("id", "c").distinct()
     of_copies = copies.join(named, copies["first"] == named["id"], "left").select("lane", *key, F.coalesce("c", "first").alias("component"))
     single = rows.select("doc_id", "lane", *key).join(of_copies, ["lane", *key], "left").join(labels.withColumnsRenamed({"id": "doc_id", "c": "own"}), "doc_id", "left")
-    return single.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "own", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return scratch.done(single.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "own", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
@@ -249,12 +282,24 @@ def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with the first document of each near-duplicate group only (five words, similarity 0.8).
+    """docs with one document of each near-duplicate group only (five words, similarity 0.8): that of the smallest identifier.
 
-    Rows of one identifier are one document: they stay or go together. Rows of a null identifier, the smallest, all stay.
+    A row goes by its identifier and its text, so another text of the same identifier, or of a null one, which counts as
+    the smallest, is judged by itself. Repeated rows of one identifier and text stay or go together; of equal texts
+    of one group, that of the smallest identifier stays. Columns are as they were.
     """
-    gone = similar(docs).where("component_id <> doc_id").select("doc_id").where(F.col("doc_id") != NO_ID).distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    scratch = Scratch(docs.sparkSession)
+    key = F.xxhash64("doc_id", "text")
+    ids = scratch.written(docs.select(key.alias("key"), with_id().alias("doc_id"), text_digest().alias("digest")).distinct())
+    groups = similar(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), F.col("component_id").alias("c")).distinct()
+    several = scratch.written(groups.groupBy("c").agg(F.count("*").alias("k")).where("k > 1").select("c"))
+    rows = scratch.written(groups.join(several, "c").join(ids, "key"))
+    # should two texts share a key, both stay: which of them has the copy is not known
+    alone = rows.groupBy("key").agg(F.count("*").alias("k")).where("k = 1").select("key")
+    first = rows.groupBy("c").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    gone = rows.join(alone, "key").join(first, "c").where(F.struct("doc_id", "digest") != F.col("first")).select("doc_id", "digest")
+    gone = scratch.done(gone)
+    return without(docs, gone)
 
 
 ORACLE_SQL: dict[str, str] = {}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import blocks, mix, table
+from quire.llm.common import blocks, bounded, mix, table
 
 BUCKETS, ORDERS, MOST_LANGS = 1 << 15, (1, 2, 3), 256
 UNDETERMINED = "und"
@@ -64,6 +64,7 @@ def grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order and float32 log-probabilities (languages + the prior's row, BUCKETS): of docs(text, lang) with neither null."""
+    bounded(docs.sparkSession)
     langs = sorted(r[0] for r in docs.where("lang is not null and text is not null").select("lang").distinct().limit(MOST_LANGS + 1).collect())
     if len(langs) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages")

@@ -337,7 +337,7 @@ def archive(pages: DataFrame, path: str, least: int = 0, date: str = "2024-01-01
     """
     register(pages.sparkSession)
     html = F.coalesce("html", F.lit(""))
-    p = pages.select(with_id("page_id").alias("page_id"), F.col("url"), F.encode(html, "utf-8").alias("payload"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).cast("long").alias("size")).withColumn("lane", lane("page_id"))
+    p = pages.select(with_id("page_id").alias("page_id"), F.col("url"), F.encode(html, "utf-8").alias("payload"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).cast("long").alias("size")).withColumn("lane", lane("page_id", "sha1"))
     lanes, groups = lane_groups(p.where(F.col("size") >= least), ["sha1", "size"], "page_id")
     back = written(lanes.join(groups.select("sha1", "size", "first"), ["sha1", "size"]))
     p = p.join(back, ["lane", "sha1", "size"], "left").withColumn("again", F.col("first").isNotNull() & (F.col("first") != F.col("page_id")))

@@ -63,7 +63,8 @@ def test_rows_go_by_identifier_and_text(spark):
     left = sorted(((r.doc_id or 0, r.text.lower()) for r in exact_dedup.drop_copies(d).collect()))
     assert left == sorted({(i or 0, t.lower()) for i, t in full if (i, t) != (5, text(1)) and (i, t) != (12, leak)})
     near = {(r.doc_id, r.text) for r in jaccard_join.one_of_each(d).collect()}
-    assert near == {(i, t) for i, t in full if i not in {5, 11, 12}}
+    assert len(near & {(7, text(3)), (7, text(3).upper())}) == 1
+    assert near - {(7, text(3)), (7, text(3).upper())} == {(i, t) for i, t in full if i != 7 and (i, t) not in {(5, text(1)), (11, "x " + text(5)), (12, leak)}}
     items = spark.createDataFrame([(1, leak)], "item_id long, text string")
     clean = [(r.doc_id, r.text) for r in decontaminate.without_leaks(d, items).collect()]
     assert sorted(clean, key=str) == sorted(((i, t) for i, t in full if t != leak), key=str)
@@ -195,6 +196,25 @@ def test_jaccard(docs, none, width, percent):
         assert jaccard_join.similar(none).isEmpty()
 
 
+def test_jaccard_lists(spark):
+    """Documents that share passages in many ways, linked or not, against all pairs."""
+    r = random.Random(8)
+    passages = [r.choices(WORDS, k=r.randint(8, 40)) for _ in range(14)]
+    data = [(i, " ".join(w for p in r.sample(passages, r.randint(1, 4)) for w in (p if r.random() < 0.7 else [*p[:-2], f"e{i}", *p[-2:]]))) for i in range(260)]
+    sets = {}
+    for i, t in data:
+        w = tokens(t)
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    up = dict(zip(sets, sets, strict=True))
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((up[i], up[j]))
+                up = {k: a if v == b else v for k, v in up.items()}
+    got = jaccard_join.similar(spark.createDataFrame(data, "doc_id long, text string").repartition(5)).collect()
+    assert {x.doc_id: x.component_id for x in got} == up and 20 < len(set(up.values())) < 250
+
+
 def test_jaccard_chain(spark):
     """A chain of documents each near the next only, and hub copies: all one component."""
     w = [f"w{i}" for i in range(400)]
@@ -208,13 +228,9 @@ def test_components(spark):
     assert dict(components(links).collect()) == {**{i: 1 for i in range(1, 10)}, 20: 20, 25: 20, 30: 20}
 
 
-def test_suffixes(spark, none, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "SHARD_CONTEXTS", 4)
-    r = random.Random(1)
-    passage = "".join(r.choices("abcdefgh ", k=230))
-    data = [(i, "".join(r.choices("ab", k=r.randint(0, 120))) + passage[(k := r.randint(0, 100)) : k + r.randint(90, 230)] + "é" * r.randint(0, 130)) for i in range(60)]
-    data += [(100, None), (101, ""), (102, "x" * 99), (103, "x" * 100), (104, "x" * 101), (105, "y" * 250)]
-    seen, want = set(), {}
+def repeats(data):
+    """Brute force: (doc_id, text) in order, each a document: n_bytes, n_removed, n_spans, kept_sha256."""
+    seen, want = set(), []
     for i, t in data:
         b = (t or "").encode()
         gone = [False] * len(b)
@@ -222,10 +238,36 @@ def test_suffixes(spark, none, monkeypatch):
             if b[p : p + 100] in seen:
                 gone[p : p + 100] = [True] * 100
             seen.add(b[p : p + 100])
-        want[i] = (len(b), sum(gone), hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest())
+        spans = sum(g and not h for g, h in zip(gone, [False, *gone], strict=False))
+        want.append((i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    return want
+
+
+@pytest.mark.parametrize("limit", [1, 4, 1024])
+def test_suffixes(spark, none, monkeypatch, limit):
+    """Whatever the number of contexts beyond which anchors, and zones, are dealt over shards."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_CONTEXTS", limit)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 3000)
+    r = random.Random(1)
+    passage = "".join(r.choices("abcdefgh ", k=230))
+    data = [(i, "".join(r.choices("ab", k=r.randint(0, 120))) + passage[(k := r.randint(0, 100)) : k + r.randint(90, 230)] + "é" * r.randint(0, 130)) for i in range(60)]
+    data += [(100, None), (101, ""), (102, "x" * 99), (103, "x" * 100), (104, "x" * 101), (105, "y" * 250)]
     got = suffix_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(5)).collect()
-    assert {x.doc_id: (x.n_bytes, x.n_removed, x.kept_sha256) for x in got} == want
-    assert suffix_dedup.remove_repeats(none).isEmpty()
+    assert sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == repeats(data)
+    if limit == 1:
+        assert suffix_dedup.remove_repeats(none).isEmpty()
+
+
+def test_suffixes_of_rows_without_identifiers_of_their_own(spark):
+    """Rows of a null or repeated identifier keep what only they have; rows repeated whole lose the same."""
+    both = text(7, 40)
+    data = [(None, text(1, 40)), (None, both + " " + text(2, 40)), (3, both), (3, text(3, 40)), (3, text(3, 40)), (9, text(1, 40) + text(4, 40))]
+    d = spark.createDataFrame([(*x, 1.0, "k") for x in data], "doc_id long, text string, start double, key string")
+    got = sorted((x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.remove_repeats(d).collect())
+    by = lambda x: (x[0] if x[0] is not None else -1, hashlib.sha256(x[1].encode()).digest())
+    want = repeats(sorted(set(data), key=by))
+    want += [x for x, y in zip(want, sorted(set(data), key=by), strict=True) if y == data[3]]
+    assert got == sorted(x[1:] for x in want)
 
 
 def test_leaks(spark, docs, none):
