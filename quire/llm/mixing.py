@@ -1,9 +1,9 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Documents get hash-random keys (MD5 of the identifier), a source's keys are ranges of ``BUCKETS`` equal key
-intervals, and token counts are prefix-summed in two levels: within a bucket by a window over its rows, and
-over the buckets of a source by a window over one row per bucket. So the hottest source is spread over many
-tasks. Each source is cut at its exact budget; a budget beyond the source repeats whole epochs first.
+Documents get hash-random keys (MD5 of the identifier), a source's keys are ranges of equal key intervals, at least
+``BUCKETS`` and one for each ``PER_BUCKET`` rows of the table, and token counts are prefix-summed in two levels: within
+a bucket by a window over its rows, and over the buckets of a source by a window over one row per bucket. So the
+hottest source is spread over many tasks. Each source is cut at its exact budget; a budget beyond the source repeats whole epochs first.
 """
 
 from __future__ import annotations
@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import table
 
-BUCKETS = 4096
+BUCKETS, PER_BUCKET = 4096, 1 << 16
 MOST_EPOCHS = 3
 
 
 def count_words(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def source_targets(totals: DataFrame, most: int = MOST_EPOCHS) -> DataFrame:
@@ -43,31 +43,39 @@ def source_targets(totals: DataFrame, most: int = MOST_EPOCHS) -> DataFrame:
     return x.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, most: int = MOST_EPOCHS) -> DataFrame:
-    """One row per row of docs: doc_id, source, size (words), source_size, target, epochs, taken.
+def mix(docs: DataFrame, most: int = MOST_EPOCHS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, source, size (words), source_size, target, epochs, taken, and the columns of carry.
 
-    taken: the words that the mix takes of the document, whole epochs included. In the last epoch the document
-    at which the budget (the target, rounded down) ends gives the words up to it, so each source's taken words
-    sum to its budget exactly. A null text has no words; null is a source of its own; null identifiers sort
-    first; repeated rows count each; an empty table gives an empty result. Reruns agree: keys are hashes.
+    taken: the words that the mix takes of the document, whole epochs included: the text epochs times, then its first
+    taken - epochs * size words. In the last epoch the document at which the budget (the target, rounded down) ends
+    gives the words up to it, so each source's taken words sum to its budget exactly. A null text has no words; null is
+    a source of its own; null identifiers sort first; repeated rows count each; an empty table gives an empty result.
+    Reruns agree: keys are hashes, ties go by identifier and size. carry: of docs' columns, none named like the others.
     """
-    d = docs.select("doc_id", "source", count_words(F.col("text")).alias("size"))
+    bits = 12
+    rows = docs.count()
+    while bits < 32 and PER_BUCKET << bits < rows:
+        bits += 1
+    # null has a source's name of its own, so one exchange by (of, bucket, step) serves windows and join
+    d = docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("of"), *carry)
     d = d.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    d = d.withColumn("bucket", F.pmod(F.conv(F.substring("key", 1, 3), 16, 10).cast("int"), F.lit(BUCKETS)))
-    of_bucket = d.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    targets = source_targets(of_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), most)
-    over = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = of_bucket.withColumn("before", F.coalesce(F.sum("bucket_size").over(over), F.lit(0)))
-    same = starts["source"].eqNullSafe(targets["source"])
-    starts = starts.join(targets, same).select(starts["source"].alias("s"), F.col("bucket").alias("b"), "before", "source_size", "target")
-    within = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    d = d.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    d = d.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    d = d.withColumn("bucket", F.shiftrightunsigned(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), 32 - bits))
+    # null identifiers, perhaps a third of all, share a key: there the steps of a bucket are the sizes, in the order of the window
+    null_key = F.md5(F.lit("").cast("binary"))
+    d = d.withColumn("step", F.when(F.col("key") < null_key, -1).when(F.col("key") == null_key, F.col("size")).otherwise(F.lit(2**62)))
+    place = ["of", "bucket", "step"]
+    of_bucket = d.groupBy(*place).agg(F.min("source").alias("source"), F.sum("size").alias("bucket_size"))
+    targets = source_targets(of_bucket.groupBy("of").agg(F.min("source").alias("source"), F.sum("bucket_size").alias("source_size")).drop("of"), most)
+    targets = targets.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("of"), "source_size", "target")
+    over = W.partitionBy("of").orderBy("bucket", "step").rowsBetween(W.unboundedPreceding, -1)
+    starts = of_bucket.withColumn("before", F.coalesce(F.sum("bucket_size").over(over), F.lit(0))).join(targets, "of").select(*place, "before", "source_size", "target")
+    within = W.partitionBy(*place).orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    d = d.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, place)
     budget = F.floor("target")
     d = d.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long"))
     rest = budget - F.col("epochs") * F.col("source_size") - F.col("before") - F.col("inside")
     part = F.greatest(F.lit(0), F.least(rest, F.col("size")))
-    return d.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+    return d.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), *carry)
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
