@@ -2,9 +2,12 @@
 
 1. language: texts without letters and of no sure language go. 2. exact copies: the smallest identifier stays.
 3. near copies (five words, similarity 0.8): one document of each group stays. 4. documents that hold an item of
-the benchmark go. 5. mixing: what is left, with the words that the mix takes of each document. The mix is by column: every document that
-is left has its row, also one of which the budget takes nothing (taken = 0), without its text; the cut and the
-repeats are the columns taken and epochs, and who reads the mix joins the texts by doc_id and leaves out taken = 0.
+the benchmark go. 5. mixing: the documents of which the mix takes words, with their texts and how often they are
+taken (epochs, and taken words in all: the text epochs times, then its first taken - epochs * size words).
+
+Rows go by identifier and text, so null and repeated identifiers are judged row by row; a row that repeats both stays
+once (stage 2). Null texts and texts without letters go in stage 1; so do all texts where no row has a language to
+learn from. Very long texts are read whole. Further columns are kept as they are. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -36,7 +39,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs)
+    new = {"size", "source_size", "target", "epochs", "taken"}
+    carried = {c: f"in_{c}" if c in new else c for c in docs.columns if c not in ("doc_id", "source")}
+    return mix(docs.withColumnsRenamed(carried), carry=tuple(carried.values())).where("taken > 0")
 
 
 STAGES = [("language", language), ("exact_copies", exact_copies), ("near_copies", near_copies), ("decontaminated", decontaminated), ("mixed", mixed)]
@@ -44,6 +49,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over documents; each stage before it reads what its predecessor wrote."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
