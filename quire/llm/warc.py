@@ -206,16 +206,24 @@ class _Member:
         out, self.held = self.held[:i], self.held[i + len(mark) :]
         return out
 
-    def end(self, rest: int) -> int:
-        """Where the next record starts, with rest bytes of this one not yet taken."""
-        if self.gzip and self.size:
-            return self.at + self.size
-        self.take(rest + 4)
-        if not self.gzip:
-            return self.file.tell() - len(self.held)
-        while self.more():
-            self.held = b""
-        return self.file.tell() - len(self.inflate.unused_data)
+    def skip(self, n: int) -> None:
+        """Passes n bytes without keeping them."""
+        while n > 0 and (self.held or self.more()):
+            gone = min(n, len(self.held))
+            self.held, n = self.held[gone:], n - gone
+
+    def another(self) -> bool:
+        """Whether a further record stands in this member (or, in a plain file, after this one)."""
+        while True:
+            self.held = self.held.lstrip(b"\r\n")
+            if self.held:
+                return True
+            if not self.more():
+                return False
+
+    def next(self) -> int:
+        """Where the next member starts, this one being read to its end."""
+        return self.file.tell() - len(self.inflate.unused_data) if self.gzip else self.file.tell()
 
 
 def parse_headers(data: bytes) -> dict[str, str]:
@@ -227,30 +235,38 @@ def parse_headers(data: bytes) -> dict[str, str]:
 
 
 def records(file, tests: list, payload: bool) -> Iterator[tuple]:
-    """Rows of an archive of one record after another, gzip members or plain."""
+    """Rows of an archive: gzip members of one or more records each, or plain records one after another."""
     at = 0
     while True:
         m = _Member(file, at)
         if m.over:
             return
-        head = m.until(b"\r\n\r\n")
-        if head is None or not head.lstrip().startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        h = parse_headers(head.lstrip())
-        rest = int(h.get("content-length", 0))
-        if all(t(h) for t in tests):
-            size, data, digest = rest, None, h.get("warc-payload-digest")
-            if h.get("content-type", "").startswith("application/http"):
-                before = m.until(b"\r\n\r\n") or b""
-                rest -= len(before) + 4
-                size = int(parse_headers(before).get("content-length", rest))
-            if payload and h.get("warc-type") != "revisit":
-                data = m.take(rest)
-                rest = 0
-                if len(data) != size or digest and digest.startswith("sha1:") and digest[5:] != base32_sha1(data):
-                    raise ValueError(f"the payload of the record at byte {at} is not what its headers say")
-            yield (h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), digest.removeprefix("sha1:") if digest else None, h.get("warc-refers-to"), size, data, h)
-        at = m.end(rest)
+        first = True
+        while first or m.another():
+            head = m.until(b"\r\n\r\n")
+            if head is None or not head.lstrip().startswith(b"WARC/"):
+                if first and head is None and not m.held.strip():
+                    break  # a member, or the end of a file, without records
+                raise ValueError(f"no WARC record in the member at byte {at}")
+            first = False
+            h = parse_headers(head.lstrip())
+            rest = int(h.get("content-length", 0))
+            if all(t(h) for t in tests):
+                size, data, digest = rest, None, h.get("warc-payload-digest")
+                if h.get("content-type", "").startswith("application/http"):
+                    before = m.until(b"\r\n\r\n") or b""
+                    rest -= len(before) + 4
+                    size = int(parse_headers(before).get("content-length", rest))
+                if payload and h.get("warc-type") != "revisit":
+                    data = m.take(rest)
+                    rest = 0
+                    if len(data) != size or digest and digest.startswith("sha1:") and digest[5:] != base32_sha1(data):
+                        raise ValueError(f"the payload of a record in the member at byte {at} is not what its headers say")
+                yield (h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), digest.removeprefix("sha1:") if digest else None, h.get("warc-refers-to"), size, data, h)
+            if m.size:  # one record, of known length: what is left of it is not inflated
+                break
+            m.skip(rest)
+        at = m.at + m.size if m.size else m.next()
 
 
 def as_test(f: Filter):

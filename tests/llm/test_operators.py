@@ -356,6 +356,29 @@ def test_warc(spark):
     assert few.count() == 2 and few.where("payload is not null").isEmpty()
 
 
+@pytest.mark.parametrize("packed", ["whole", "each", "plain"])
+def test_warc_of_others(tmp_path, packed):
+    """Archives without lengths in their members: one member for all records, one for each, and none."""
+    import gzip
+    import io
+
+    each = [b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, len(t), t) for i, t in enumerate([b"", b"a\r\n\r\nb", b"x" * 200000, b"WARC/1.0\r\n\r\n", b"\r\n"])]
+    data = {"whole": gzip.compress(b"".join(each)), "each": b"".join(map(gzip.compress, each)), "plain": b"".join(each)}[packed]
+    got = list(warc.records(io.BytesIO(data), [], True))
+    assert [(r[0], r[6], r[7]) for r in got] == [("<0>", 0, b""), ("<1>", 6, b"a\r\n\r\nb"), ("<2>", 200000, b"x" * 200000), ("<3>", 12, b"WARC/1.0\r\n\r\n"), ("<4>", 2, b"\r\n")]
+    assert [r[0] for r in warc.records(io.BytesIO(data), [lambda h: h["warc-record-id"] in ("<1>", "<4>")], False)] == ["<1>", "<4>"]
+
+
+def test_warc_of_an_empty_table_and_repeated_rows(spark):
+    path = shared_dir(spark)
+    warc.archive(spark.createDataFrame([], "page_id long, url string, html string"), path)
+    assert warc.archived(spark, path).isEmpty()
+    path = shared_dir(spark)
+    warc.archive(spark.createDataFrame([(1, "u", "abc"), (1, "u", "abc"), (2, "u", "abc"), (3, "u", ""), (4, "u", "")], "page_id long, url string, html string"), path, least=1)
+    got = sorted((r.record_id, r.record_type) for r in warc.archived(spark, path).collect())
+    assert [t for _, t in got] == ["response", "response", "revisit", "response", "response"]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
