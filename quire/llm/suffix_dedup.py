@@ -4,11 +4,10 @@ Only places that may repeat reach a suffix array. Each 100-byte window has an an
 ``GRAM``-byte string (leftmost of equals), so equal windows have equal anchors at equal places. A context is the
 bytes that the windows of one anchor cover. Occurrences of equal (anchor, context) beyond the first are repeated
 whole: within a batch at once, across batches by a sort of the batches' first ones. What is left are anchors with
-several contexts, which are sharded by content: by the anchor, or, where an anchor has more than ``SHARD_CONTEXTS`` of
-them, by the bytes that all windows of a zone of ``ZONE`` places around the anchor cover. So equal windows are in one
-shard, however many contexts an anchor has. Each shard's text gets a suffix array by Larsson-Sadakane refinement (only
+several contexts, which are cut into zones of ``ZONE`` places around the anchor and sharded by the bytes that all windows
+of a zone cover. So equal windows are in one shard, however many contexts an anchor has. Each shard's text gets a suffix array by Larsson-Sadakane refinement (only
 groups not yet sorted are sorted, by twice the depth, until none is left), common prefixes by Kasai's rule in all
-contexts at once, and from these the classes of equal windows. Where a zone's bytes too are in more than
+contexts at once, and from these the classes of equal windows. Where a zone's bytes are in more than
 ``SHARD_CONTEXTS`` different places, these are dealt over several shards; each puts out its distinct windows
 as a sorted run of 128-bit fingerprints, and the runs are merged one after another: each window of a run is looked up in
 what is merged so far by binary search.
@@ -121,15 +120,14 @@ _READ = ["key", "c", "doc_id", "start", "n", "bytes"]
 
 
 def second_reading(docs: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Of the anchors in frequent(h, contexts) the contexts or, if they are many, their zones: key, c (a zone's fingerprint), doc_id, start, n, bytes.
+    """Of the contexts of the anchors in frequent(h) the zones: key, c (fingerprint), doc_id, start, n, bytes.
 
     Rows without bytes are spans that repeat within their batch.
     """
-    known, wide = sieve(frequent, "h"), sieve(frequent.where(F.col("contexts") > SHARD_CONTEXTS), "h")
-    shared = docs.sparkSession.sparkContext.broadcast((known, wide))
+    shared = docs.sparkSession.sparkContext.broadcast(sieve(frequent, "h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, wide = shared.value
+        known = shared.value
         for batch in (p for b in batches for p in pieces(b, "text", PIECE)):
             row, start, n, h, _, again, lead = batch_anchors(batch)
             ids = batch["doc_id"].to_numpy()
@@ -143,12 +141,7 @@ def second_reading(docs: DataFrame, frequent: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.array(ids[r[at]]), pa.array(s[at].astype(np.int32)), pa.array((ends - s[at] - LENGTH + 1).astype(np.int32)), pa.nulls(len(at), pa.binary())], names=_READ)
             buf, off = arrays(batch["text"])
             base = off[row] + start
-            some = np.flatnonzero(~again & known.has(h)) if len(h) else np.zeros(0, np.int64)
-            hot = wide.has(h[some]) if len(some) else np.zeros(0, bool)
-            keep = some[~hot]
-            data = [buf[b : b + k - 1 + LENGTH].tobytes() for b, k in zip(base[keep], n[keep], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h[keep])), pa.nulls(len(keep), pa.int64()), pa.array(ids[row[keep]]), pa.array(start[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)), pa.array(data, pa.binary())], names=_READ)
-            keep = some[hot]
+            keep = np.flatnonzero(~again & known.has(h)) if len(h) else np.zeros(0, np.int64)
             if not len(keep):
                 continue
             of, s, k, key, c = zones(buf, base[keep], start[keep], n[keep], lead[keep])
@@ -364,7 +357,7 @@ def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
     equal = parts.where("again")
     wide = scratch.written(parts.where("not again").groupBy("key").agg(F.count("*").alias("contexts")).where(F.col("contexts") > SHARD_CONTEXTS))
     place = ["key", "doc_id", "start"]
-    contexts = both.where("bytes is not null and c is null").drop("c").union(anti(both.where("bytes is not null and c is not null").drop("c"), equal, place))
+    contexts = anti(both.where("c is not null").drop("c"), equal, place)
     shards = F.ceil(F.lit(wide.agg(F.max("contexts")).first()[0] or 1) / SHARD_CONTEXTS)
     many, few = parted(contexts, wide, ["key"])
     contexts = few.withColumn("wide", F.lit(False)).union(many.withColumn("key", F.xxhash64("key", F.pmod(F.xxhash64("doc_id", "start"), shards))).withColumn("wide", F.lit(True)))
