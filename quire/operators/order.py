@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table under spark.checkpoint.dir (a temporary folder only where that is unset, as in tests)."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    """df as a table under spark.checkpoint.dir (a temporary folder only where that is unset and the master is local, as in tests)."""
+    base, master = df.sparkSession.conf.get("spark.checkpoint.dir", None), df.sparkSession.conf.get("spark.master", "")
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or f"file://{tempfile.gettempdir()}"
     path = f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

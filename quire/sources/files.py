@@ -37,9 +37,13 @@ def discover(spark: SparkSession, roots: list[str]) -> DataFrame:
     """path, length, modified, content of known files below roots: no dot names, no sidecar folders, at most DEPTH folders deep."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(dict.fromkeys(roots)))
     names = F.split(F.col("path"), "/")
+    plain = lambda p: F.regexp_replace(p, "^file:/+", "/")
+    # folders between the file and the nearest root above it
+    tops = [re.sub("^file:/+", "/", r).rstrip("/") + "/" for r in roots]
+    below = F.least(*(F.when(F.startswith(plain("path"), F.lit(t)), F.size(F.split(F.substr(plain("path"), F.lit(len(t) + 1)), "/")) - 1) for t in tops), F.lit(1 << 30))
     known = F.lower(F.col("path")).rlike("(" + "|".join(re.escape(e) for e, _ in EXTENSIONS) + ")$")
     shown = ~F.exists(names, lambda n: n.startswith(".") | n.endswith(".sdr"))
-    return raw.where(known & shown).select("path", "length", F.unix_timestamp("modificationTime").alias("modified"), "content").dropDuplicates(["path"])
+    return raw.where(known & shown & (below <= DEPTH)).select("path", "length", F.unix_timestamp("modificationTime").alias("modified"), "content").dropDuplicates(["path"])
 
 
 def kind_by_name(path: Column) -> Column:

@@ -186,3 +186,34 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_names(spark):
     x = spark.createDataFrame([("Doe, Jane",), ("One",), ("a, b, c",)], "t string").select(C.natural_name(T.F.col("t")).alias("t")).collect()
     assert [r.t for r in x] == ["Jane Doe", "One", "a, b, c"]
+
+
+def test_discover(spark, tmp_path):
+    """Known files below the roots, once each: no dot names, no sidecars, at most eight folders deep from the nearest root."""
+    from quire.sources.files import discover
+
+    deep = tmp_path.joinpath(*"abcdefgh")
+    deeper = deep / "i"
+    for folder in (tmp_path, deep, deeper, tmp_path / ".hid", tmp_path / "x.sdr"):
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / "book.txt").write_text("text")
+    (tmp_path / "a" / "list.csv").write_text("1")
+    found = lambda *roots: {r.path.removeprefix(f"file:{tmp_path}/") for r in discover(spark, [str(r) for r in roots]).select("path").collect()}
+    assert found(tmp_path) == {"book.txt", "a/b/c/d/e/f/g/h/book.txt"}
+    assert found(tmp_path, tmp_path / "a", tmp_path) == {"book.txt", "a/b/c/d/e/f/g/h/book.txt", "a/b/c/d/e/f/g/h/i/book.txt"}
+
+
+def test_sharp_s_in_titles(spark):
+    """remembered_places against its SQL on the table where titles have letters of two capitals."""
+    import duckdb
+
+    from quire.plans import queries as R
+
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{d}/pages.parquet'")
+    for name in ("remembered_places", "superseded_places"):
+        got = R.QUERIES[name](spark, d)
+        want = con.execute(R.ORACLE_SQL[name]).fetchall()
+        columns = [c[0] for c in con.description]
+        assert sorted(map(str, (tuple(r) for r in got.select(columns).collect()))) == sorted(map(str, want))
