@@ -115,3 +115,13 @@ def reusable(files: DataFrame, index: DataFrame) -> DataFrame:
 def last_wins(rows: DataFrame, key: str, order: Column) -> DataFrame:
     """One row per key: the last in order."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("r")).select(key, "r.*")
+
+
+def matching(entries: DataFrame, said: str) -> DataFrame:
+    """key, ord, t and path (the entries above, outermost first) of entries (key, ord, d, t) whose titles hold all words of said, in any case."""
+    terms = said.lower().split()
+    found = entries.select("key", "ord", "t").join(paths(entries), ["key", "ord"])
+    above = F.substr("path", F.lit(1), F.greatest(F.lit(0), F.length("path") - F.length("t") - 3))
+    for term in terms:
+        found = found.where(F.lower("t").contains(term))
+    return found.select("key", "ord", "t", above.alias("path"))

@@ -352,4 +352,4 @@ def natural_name(spark, d):
     return read(spark, d, "customer").select("c_custkey", C.natural_name(F.regexp_replace("c_name", "#", ", ")).alias("name"))
 
 
-from quire.plans import reading  # noqa: E402, F401 - its queries join the same tables
+from quire.plans import blocks, reading  # noqa: E402, F401 - their queries join the same tables
