@@ -11,7 +11,9 @@ would make the square of its size in pairs. So candidates come in rounds of star
 its group's first member and with one leader, the document that stands first in most of the prefix entries they share;
 the links found give components, and documents are compared with their other lists' leaders in other components. Then
 every pair of the remaining candidates whose ends lie in different components is compared, whole. A link between
-documents that are connected already would not change a component, so none is lost.
+documents that are connected already would not change a component, so none is lost. A pair that shares many
+lists leaves few of them: each document's lists are in the order of their positions, and a list does not put out a pair
+that has one of the ``BEFORE`` lists before it in common as well. The first list that two documents share always puts them out.
 
 Comparisons first bound the overlap by the histograms of both sets, of a cell for ``LOAD`` hashes, then intersect the whole sets.
 """
@@ -23,11 +25,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.common import SALT_LOWER, Rolling, Scratch, anti, blocks, components, given_id, lane, lane_groups, mix, parted, sieve, signed, table, text_digest, with_id, without, words
 
-LOAD, HEAVY, LOCAL = 4, 1 << 18, 4
+LOAD, HEAVY, LOCAL, BEFORE = 4, 1 << 18, 4, 8
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -253,12 +256,15 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     ranged = lists.join(of_group.withColumnRenamed("gid", "id"), "id", "left").withColumn("several", F.col("c1").isNotNull()).withColumn("leads", F.col("id") == F.col("lid"))
     ranged = scratch.written(c(ranged, "id", "own").withColumn("c1", F.coalesce("c1", "own")).withColumn("c2", F.coalesce("c2", "own")).drop("own", "lid", "lp", "ln", "w"))
     mixed = ranged.groupBy("l").agg(F.min("c1").alias("lo"), F.max("c2").alias("hi"), F.count("*").alias("k"), F.bool_or("several").alias("s")).where("lo <> hi and (k > 2 or s)").select("l")
-    open_ = scratch.written(ranged.join(mixed, "l"))
-    x, y = (open_.select("l", *(F.col(k).alias(k + s) for k in ("id", "n", "p", "c1", "c2", "several", "leads"))) for s in ("x", "y"))
+    before = F.collect_list("l").over(W.partitionBy("id", "n").orderBy("p", "l").rowsBetween(-BEFORE, -1))
+    open_ = scratch.written(ranged.join(mixed, "l").withColumn("before", before))
+    x, y = (open_.select("l", *(F.col(k).alias(k + s) for k in ("id", "n", "p", "c1", "c2", "several", "leads", "before"))) for s in ("x", "y"))
     apart = (F.col("c1x") != F.col("c2x")) | (F.col("c1y") != F.col("c2y")) | (F.col("c1x") != F.col("c1y"))
     order = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("idx") < F.col("idy")))
     unmet = F.col("severalx") | F.col("severaly") | ~(F.col("leadsx") | F.col("leadsy"))
-    met = x.join(y, "l").where(order & apart & unmet & _room(F.col("nx"), F.col("px"), F.col("ny"), F.col("py"), percent))
+    # positions before p leave more room, so a pair that passes here passes there too, or met there as leader and member
+    new = ~F.arrays_overlap("beforex", "beforey")
+    met = x.join(y, "l").where(order & apart & unmet & _room(F.col("nx"), F.col("px"), F.col("ny"), F.col("py"), percent) & new)
     heads_left = scratch.written(met.select(F.col("idx").alias("gx"), F.col("idy").alias("gy")).distinct())
     all_members = of_member.select("gid", "id", "c")
     ends = lambda df, g, i, name: df.join(all_members.withColumnsRenamed({"gid": g, "id": i, "c": name}), g, "left").withColumn(i, F.coalesce(i, g))

@@ -215,6 +215,25 @@ def test_jaccard_lists(spark):
     assert {x.doc_id: x.component_id for x in got} == up and 20 < len(set(up.values())) < 250
 
 
+@pytest.mark.parametrize("before", [1, 8])
+def test_jaccard_families(spark, monkeypatch, before):
+    """Long documents of one mould, whose words vary each by itself, so that each pair shares many lists, against all pairs."""
+    monkeypatch.setattr(jaccard_join, "BEFORE", before)
+    r = random.Random(4)
+    mould = [f"m{i}" for i in range(900)]
+    data = [(i, " ".join(w if r.random() > (0.004, 0.015, 0.02, 0.04)[i % 4] else w + r.choice("xy") for w in mould)) for i in range(48)]
+    data += [(60, data[1][1]), (61, data[1][1].replace("m7 ", "m7z ")), (61, data[2][1].replace("m9 ", "m9z "))]
+    sets = {(i, t): frozenset(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t in data}
+    up = {i: i for i, _ in data}
+    for (i, t), x in sets.items():
+        for (j, u), y in sets.items():
+            if (i, t) < (j, u) and 100 * len(x & y) >= 80 * len(x | y):
+                a, b = sorted((up[i], up[j]))
+                up = {k: a if v == b else v for k, v in up.items()}
+    got = jaccard_join.similar(spark.createDataFrame(data, "doc_id long, text string").repartition(5)).collect()
+    assert {(x.doc_id, x.component_id) for x in got} == set(up.items()) and 10 < len(set(up.values())) < 45
+
+
 def test_jaccard_chain(spark):
     """A chain of documents each near the next only, and hub copies: all one component."""
     w = [f"w{i}" for i in range(400)]
