@@ -244,23 +244,34 @@ def sieve(keys: DataFrame, col: str) -> Sieve:
 CELLS = 1 << 18
 
 
-def parted(df: DataFrame, gone: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
-    """df as (rows whose cols may be a row of gone, rows whose cols are not); none of cols is null.
-
-    A bit set of the hashes of gone, 16 bits a row and at most ``CELLS`` cells of 64 bits whatever the rows (about 10 MB), is
-    broadcast as a table, so this is one JVM stage without an exchange of df. More rows of gone let more of df pass as may be.
-    """
+def _bit_set(df: DataFrame, gone: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame, Column, Column]:
+    """df with the hash of cols, the bits of gone as a table to broadcast, the condition that joins them, and whether the bit is set."""
     cells, n = 1 << 4, gone.count()
     while cells < CELLS and 64 * cells < 16 * n:
         cells *= 2
     h = lambda: F.xxhash64(*cols).bitwiseAND(64 * cells - 1)
     at, bit = F.shiftright(F.col("quire hash"), 6), F.col("quire hash").bitwiseAND(63).cast("int")
     bits = gone.select(h().alias("quire hash")).distinct().groupBy(at.alias("quire at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(`quire hash` & 63 as int))")).alias("quire bits"))
-    joined = df.withColumn("quire hash", h()).join(F.broadcast(bits), at == F.col("quire at"), "left")
-    may = F.coalesce(F.getbit("quire bits", bit), F.lit(0)) == 1
+    return df.withColumn("quire hash", h()), F.broadcast(bits), at == F.col("quire at"), F.coalesce(F.getbit("quire bits", bit), F.lit(0)) == 1
+
+
+def parted(df: DataFrame, gone: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """df as (rows whose cols may be a row of gone, rows whose cols are not); none of cols is null.
+
+    A bit set of the hashes of gone, 16 bits a row and at most ``CELLS`` cells of 64 bits whatever the rows (about 10 MB), is
+    broadcast as a table, so this is one JVM stage without an exchange of df. More rows of gone let more of df pass as may be.
+    """
+    hashed, bits, on, may = _bit_set(df, gone, cols)
+    joined = hashed.join(bits, on, "left")
     return joined.where(may).select(df.columns), joined.where(~may).select(df.columns)
 
 
+def among(df: DataFrame, wanted: DataFrame, cols: list[str]) -> DataFrame:
+    """The rows of df whose cols may be a row of wanted, as the first of parted, by a join that puts out no others."""
+    hashed, bits, on, may = _bit_set(df, wanted, cols)
+    return hashed.join(bits, on & may, "left_semi").select(df.columns)
+
+
 def anti(df: DataFrame, gone: DataFrame, cols: list[str]) -> DataFrame:
     """df without the rows whose cols (none null) are a row of gone. Only rows that may be among them meet gone in a join."""
     may, not_ = parted(df, gone, cols)

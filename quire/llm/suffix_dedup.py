@@ -6,7 +6,7 @@ bytes that the windows of one anchor cover. Occurrences of equal (anchor, contex
 whole: within a batch at once, across batches by a sort of the batches' first ones. What is left are anchors with
 several contexts, which are sharded by content: by the anchor, or, where an anchor has more than ``SHARD_CONTEXTS`` of
 them, by the bytes that all windows of a zone of ``ZONE`` places around the anchor cover. So equal windows are in one
-shard, however many contexts an anchor has. Each shard's text gets a suffix array by Larsson-Sadakane refinement (only
+shard, however many contexts an anchor has; zones that share these bytes with no other one hold no repeat and are left out. Each shard's text gets a suffix array by Larsson-Sadakane refinement (only
 groups not yet sorted are sorted, by twice the depth, until none is left), common prefixes by Kasai's rule in all
 contexts at once, and from these the classes of equal windows. Where a zone's bytes too are in more than
 ``SHARD_CONTEXTS`` different places, these are dealt over several shards; each puts out its distinct windows
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import SALT, Rolling, Scratch, anti, arrays, blocks, given_id, mix, parted, pieces, sieve, signed, table, text_digest, with_id
+from quire.llm.common import SALT, Rolling, Scratch, among, arrays, blocks, given_id, mix, parted, pieces, sieve, signed, table, text_digest, with_id
 
 LENGTH, GRAM, ZONE = 100, 24, 10
 SHARD_CONTEXTS, SHARD_BYTES, PIECE = 1024, 1 << 21, 1 << 23
@@ -362,12 +362,16 @@ def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
     parts = both.where("c is not null").select("key", "c", "doc_id", "start", "n").withColumn("again", here("key", "c") != F.struct("doc_id", "start"))
     parts = scratch.written(parts)
     equal = parts.where("again")
-    wide = scratch.written(parts.where("not again").groupBy("key").agg(F.count("*").alias("contexts")).where(F.col("contexts") > SHARD_CONTEXTS))
+    keys = scratch.written(parts.where("not again").groupBy("key").agg(F.count("*").alias("contexts")).where("contexts > 1"))
+    wide = keys.where(F.col("contexts") > SHARD_CONTEXTS)
+    # the windows of a zone differ, and equal windows have equal keys: where a key has one zone there is nothing more to find
+    zoned = among(both.where("bytes is not null and c is not null").drop("c"), keys, ["key"])
     place = ["key", "doc_id", "start"]
-    contexts = both.where("bytes is not null and c is null").drop("c").union(anti(both.where("bytes is not null and c is not null").drop("c"), equal, place))
+    zoned = scratch.written(zoned.join(equal.select(place), place, "left_anti"))
     shards = F.ceil(F.lit(wide.agg(F.max("contexts")).first()[0] or 1) / SHARD_CONTEXTS)
-    many, few = parted(contexts, wide, ["key"])
-    contexts = few.withColumn("wide", F.lit(False)).union(many.withColumn("key", F.xxhash64("key", F.pmod(F.xxhash64("doc_id", "start"), shards))).withColumn("wide", F.lit(True)))
+    many, few = parted(zoned, wide, ["key"])
+    many = many.withColumn("key", F.xxhash64("key", F.pmod(F.xxhash64("doc_id", "start"), shards)))
+    contexts = both.where("bytes is not null and c is null").drop("c").unionByName(few).withColumn("wide", F.lit(False)).unionByName(many.withColumn("wide", F.lit(True)))
     found = scratch.written(contexts.repartition("key").sortWithinPartitions("key").mapInArrow(shard_classes, _FOUND))
     block = F.shiftrightunsigned("f1", 52).alias("block")
     across = found.where("f1 is not null").select(block, "run", "f1", "f2", "doc_id", "start").repartition("block").sortWithinPartitions("block", "run", "f1", "f2").mapInArrow(merge_shards, "f1 long, f2 long, doc_id long, start int, n int")

@@ -277,6 +277,21 @@ def test_suffixes(spark, none, monkeypatch, limit):
         assert suffix_dedup.remove_repeats(none).isEmpty()
 
 
+def test_suffixes_of_zones_alone(spark, monkeypatch):
+    """Zones that share no key with others, and contexts of anchors that are not cut into zones, pass no join over zones."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_CONTEXTS", 4)
+    part, met = suffix_dedup.parted, []
+    monkeypatch.setattr(suffix_dedup, "parted", lambda df, *a: met.append(df.count()) or part(df, *a))
+    r = random.Random(2)
+    some = lambda k: "".join(r.choices("abcdefgh ", k=k))
+    passage, both = some(90), some(150)
+    data = [(i, some(90) + passage + some(90)) for i in range(200)]  # no window of 100 bytes is shared
+    data += [(200 + i, some(20) + both + some(20)) for i in range(2)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == (want := repeats(data))
+    assert sum(x[2] for x in want) >= 150 and sum(met) < 200
+
+
 def test_suffixes_of_rows_without_identifiers_of_their_own(spark):
     """Rows of a null or repeated identifier keep what only they have; rows repeated whole lose the same."""
     both = text(7, 40)
