@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Jumps of 2^k edges are made up to this k; 2^40 places are more than any table has.
+MOST_JUMPS = 40
+
 
 def written(df: DataFrame) -> DataFrame:
     """df as a table under spark.checkpoint.dir (a temporary folder only where that is unset and the master is local, as in tests)."""
@@ -40,13 +43,26 @@ def running(df: DataFrame, by: list[Column], size: Column | None = None) -> Data
 
 
 def reachable(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, hops of all that seeds (id) reach along edges (a, b): rounds of a join with the last round's finds, each a written table."""
-    new = written(seeds.select("id").distinct().withColumn("hops", F.lit(0)))
-    found, hops = new, 0
+    """id, hops of all that seeds (id) reach along edges (a, b), hops being the least, in rounds that are each a written table.
+
+    In each round the last round's finds go along all edges, so there are no more rounds than hops; and all finds jump
+    2^k times along one edge of each place, k growing while that finds anything, so a chain takes the logarithm of its length.
+    """
+    edges = written(edges.select("a", "b"))
+    jumps, k = [written(edges.groupBy("a").agg(F.min("b").alias("b")))], 0
+    found = written(seeds.select("id").distinct().select("id", F.lit(0).cast("long").alias("hops"), F.lit(True).alias("new"), F.lit(False).alias("far")))
+    none = F.lit(None).cast("long")
     while True:
-        hops += 1
-        ahead = new.join(edges, new["id"] == edges["a"]).select(F.col("b").alias("id")).distinct()
-        new = written(ahead.join(found, "id", "left_anti").withColumn("hops", F.lit(hops)))
-        if new.isEmpty():
-            return found
-        found = found.unionByName(new)
+        near = found.where("new").join(edges, F.col("id") == F.col("a")).select(F.col("b").alias("id"), none.alias("old"), none.alias("jumped"), (F.col("hops") + 1).alias("hops"))
+        far = found.join(jumps[k], F.col("id") == F.col("a")).select(F.col("b").alias("id"), none.alias("old"), (F.col("hops") + 2**k).alias("jumped"), (F.col("hops") + 2**k).alias("hops"))
+        said = found.select("id", F.col("hops").alias("old"), none.alias("jumped"), "hops").unionByName(near).unionByName(far)
+        best = said.groupBy("id").agg(F.min("hops").alias("hops"), F.min("old").alias("old"), F.min("jumped").alias("jumped"))
+        new = F.col("old").isNull() | (F.col("hops") < F.col("old"))
+        found = written(best.select("id", "hops", new.alias("new"), (new & F.coalesce(F.col("jumped") == F.col("hops"), F.lit(False))).alias("far")))
+        any_new, any_far = found.agg(F.max("new"), F.max("far")).first()
+        if not any_new:
+            return found.select("id", "hops")
+        k = (k + 1) % MOST_JUMPS if any_far else 0
+        if k == len(jumps):
+            to = jumps[-1].select(F.col("a").alias("b"), F.col("b").alias("c"))
+            jumps.append(written(jumps[-1].join(to, "b").select("a", F.col("c").alias("b"))))

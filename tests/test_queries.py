@@ -90,6 +90,21 @@ def test_running_sums_over_ranges(spark):
     assert O.running(x.where("id < 0"), [F.col("id")], F.col("id")).isEmpty()
 
 
+def test_reach_along_chains_and_branches(spark, monkeypatch):
+    """A chain of 300 places takes the logarithm of its length in tables; hops are the least, whatever jumps found first."""
+    tables, write = [], O.written
+    monkeypatch.setattr(O, "written", lambda df: tables.append(1) or write(df))
+    edges = [(i, i + 1) for i in range(300)] + [(5, 290), (300, 3), (300, None), (40, 1000), (1000, 1001), (1001, 299), (77, 77), (2000, 2001)]
+    got = {r["id"]: r["hops"] for r in O.reachable(spark.range(1), spark.createDataFrame(edges, "a long, b long")).collect()}
+    want, new = {0: 0}, [0]
+    while new:
+        new = list({b: want[a] + 1 for a in new for x, b in edges if x == a and b not in want}.items())
+        want.update(new)
+        new = [b for b, _ in new]
+    assert got == want and len(want) == 304
+    assert len(tables) < 50
+
+
 def test_raised_and_visible(spark):
     got = spark.createDataFrame([("12+n",), ("1a",), (" \u00a0\u00ad",), ("",)], "t string").select(R.raised(F.col("t")).alias("r"), R.visible(F.col("t")).alias("v")).collect()
     assert [tuple(r) for r in got] == [("¹²⁺ⁿ", True), (None, True), (None, False), (None, False)]
