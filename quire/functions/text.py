@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,8 +26,30 @@ def clean(t: Column) -> Column:
     return F.translate(t, SPACES + DROPPED, " " * len(SPACES))
 
 
+@cache
+def _pairs(capitals: bool) -> tuple[str, str]:
+    """Letters with another form that is one character, and those forms."""
+    whole = [chr(i) for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF]
+    if capitals:
+        forms = ["ẞ" if c == "ß" else next((f for f in (c.upper(), c.title()) if len(f) == 1), c) for c in whole]
+    else:
+        forms = [c.lower()[0] for c in whole]
+    kept = [(c, f) for c, f in zip(whole, forms, strict=True) if c != f]
+    return "".join(c for c, _ in kept), "".join(f for _, f in kept)
+
+
+def upper(t: Column) -> Column:
+    """Capitals letter by letter, as SQL has them: none becomes two, and a sharp s has its own. (The JVM makes SS of it.)"""
+    return F.when(F.octet_length(t) == F.length(t), F.upper(t)).otherwise(F.translate(t, *_pairs(True)))
+
+
+def lower(t: Column) -> Column:
+    """Small letters one by one, whatever stands beside them."""
+    return F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(t, *_pairs(False)))
+
+
 def caps_line(t: Column) -> Column:
-    return (F.upper(t) == t) & (F.lower(t) != t)
+    return (upper(t) == t) & (lower(t) != t)
 
 
 def numbered_heading(t: Column) -> Column:

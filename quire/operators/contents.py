@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.functions.text import lower
 from quire.operators import sequence as S
 
 
@@ -16,9 +17,9 @@ def resolve(links: DataFrame, anchors: DataFrame) -> DataFrame:
     fragment is looked up as it is, then in lower case, and then the start of its document is the target.
     """
     exact = anchors.groupBy("key", "name", "fragment").agg(F.min("b").alias("b1"))
-    folded = anchors.groupBy("key", "name", F.lower("fragment").alias("low")).agg(F.min("b").alias("b2"))
+    folded = anchors.groupBy("key", "name", lower(F.col("fragment")).alias("low")).agg(F.min("b").alias("b2"))
     starts = anchors.where("fragment = ''").groupBy("key", "name").agg(F.min("b").alias("b3"))
-    x = links.withColumn("low", F.lower("fragment")).join(exact, ["key", "name", "fragment"], "left").join(folded, ["key", "name", "low"], "left").join(starts, ["key", "name"], "left")
+    x = links.withColumn("low", lower(F.col("fragment"))).join(exact, ["key", "name", "fragment"], "left").join(folded, ["key", "name", "low"], "left").join(starts, ["key", "name"], "left")
     return x.withColumn("b", F.coalesce("b1", "b2", "b3")).drop("b1", "b2", "b3", "low")
 
 
@@ -85,7 +86,7 @@ def relocate(places: DataFrame, blocks: DataFrame, reach: int = S.REACH) -> Data
 
 def remembered(books: DataFrame, places: DataFrame) -> DataFrame:
     """books (key, path, title) with the place (t) saved under their key, else the newest of the same path and title, whatever its case."""
-    tidy = F.lower(F.trim("title"))
+    tidy = lower(F.trim("title"))
     own = places.groupBy("key").agg(F.max("t").alias("t1"))
     other = places.where("path <> ''").groupBy("path", tidy.alias("name")).agg(F.max("t").alias("t2"))
     x = books.withColumn("name", tidy).join(own, "key", "left").join(other, ["path", "name"], "left")
@@ -95,7 +96,7 @@ def remembered(books: DataFrame, places: DataFrame) -> DataFrame:
 def superseded(places: DataFrame) -> DataFrame:
     """places (key, path, title, t) after all saves: the newest of each key, and of those of one path and title the newest."""
     newest = places.groupBy("key").agg(F.max_by(F.struct("path", "title", "t"), F.struct("t", "path")).alias("p")).select("key", "p.*")
-    named = newest.where("path <> ''").groupBy("path", F.lower(F.trim("title")).alias("name")).agg(F.max_by("key", F.struct("t", "key")).alias("key"))
+    named = newest.where("path <> ''").groupBy("path", lower(F.trim("title")).alias("name")).agg(F.max_by("key", F.struct("t", "key")).alias("key"))
     return newest.join(named.select("key"), "key", "left_semi").unionByName(newest.where("path = ''"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import split as X
+from quire.functions import text as S
 from quire.functions import titles as T
 from quire.operators import blocks as K
 from quire.operators import contents as N
@@ -28,7 +29,7 @@ def heading_kinds(spark, d):
 SELECT key, b, length(t) BETWEEN 3 AND 60 AND upper(t) = t AND lower(t) <> t AND regexp_matches(t, '^[\p{L}\p{N}]') AND length(regexp_replace(t, '\P{L}', '', 'g')) >= 3 AND right(t, 1) NOT IN ('.', ',', ';', ':') AND t NOT IN ('THE END', 'END', 'FINIS', 'FIN') AS caps,
 right(t, 1) IN (',', ';') OR (right(t, 1) = '.' AND NOT (regexp_matches(t, '\p{Lu}') AND NOT regexp_matches(t, '\p{Ll}|\p{Lt}')) AND NOT regexp_full_match(t, '(?i)(chapter|part|book|volume|section|letter|canto|act|scene|chapitre|livre|kapitel|teil|cap[ií]tulo|capitolo)\s+(\d+|[ivxlcdm]+)\.')) AS prose FROM x""")
 def heading_tests(spark, d):
-    t = F.when(F.col("b") % 3 == 0, F.upper(F.substring("t", 1, 50))).when(F.col("b") % 3 == 1, F.concat(F.upper(F.substring("t", 1, 20)), F.lit("."))).otherwise(F.col("t"))
+    t = F.when(F.col("b") % 3 == 0, S.upper(F.substring("t", 1, 50))).when(F.col("b") % 3 == 1, F.concat(S.upper(F.substring("t", 1, 20)), F.lit("."))).otherwise(F.col("t"))
     return lines(spark, d).select("key", "b", t.alias("t")).select("key", "b", T.caps_heading(F.col("t")).alias("caps"), T.ends_like_prose(F.col("t")).alias("prose"))
 
 

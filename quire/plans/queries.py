@@ -154,7 +154,7 @@ def library_folder(spark, d):
 
 @query(f"SELECT lower(trim({TITLE})) AS title, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) > 1")
 def shared_titles(spark, d):
-    x = read(spark, d, "pages").select(F.lower(F.coalesce(H.page_title(F.col("html")), F.lit(""))).alias("title"))
+    x = read(spark, d, "pages").select(T.lower(F.coalesce(H.page_title(F.col("html")), F.lit(""))).alias("title"))
     return x.groupBy("title").agg(F.count("*").alias("n")).where("n > 1")
 
 

@@ -114,9 +114,7 @@ def _places(spark, d):
 
     title = F.coalesce(H.page_title(F.col("html")), F.lit(""))
     x = read(spark, d, "pages").select("page_id", F.col("url").alias("path"), title.alias("name"))
-    # capitals letter by letter: the JVM would make two of a sharp s, which no lower-casing takes back
-    one_to_one = F.translate(F.upper(F.translate("name", "ß", "\x01")), "\x01", "ß")
-    places = x.where("page_id % 5 < 4").select((F.floor(F.col("page_id") / 2) * 4).alias("key"), "path", F.concat(F.lit(" "), one_to_one).alias("title"), (F.col("page_id") % 13).alias("t"))
+    places = x.where("page_id % 5 < 4").select((F.floor(F.col("page_id") / 2) * 4).alias("key"), "path", F.concat(F.lit(" "), T.upper(F.col("name"))).alias("title"), (F.col("page_id") % 13).alias("t"))
     return x.select(F.col("page_id").alias("key"), "path", F.col("name").alias("title")), places
 
 

@@ -2,14 +2,17 @@
 
 import re
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quire.functions import split as X
+from quire.functions import text as E
 from quire.functions import titles as T
 from quire.operators import blocks as K
 from quire.operators import contents as N
+from quire.plans.queries import ORACLE_SQL, QUERIES
 
 
 def told(spark, texts, of):
@@ -101,3 +104,28 @@ def test_found_contents_and_table_parts(spark):
     t = spark.createDataFrame([([[str(i)] for i in range(130)], 61), ([], 0)], "rows array<array<string>>, hdr int")
     got = [[(len(p["rows"]), p["hdr"]) for p in r["x"]] for r in t.select(X.row_parts(F.col("rows"), F.col("hdr")).alias("x")).collect()]
     assert got == [[(60, 60), (60, 1), (10, 0)], []]
+
+
+def test_letters_one_by_one(spark):
+    """Capitals and small letters are those of the SQL, for every character and whatever stands beside it."""
+    texts = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i <= 0xDFFF] + ["Straße", "ΟΔΟΣ Ǆ", "THE ﬁN", "plain", "", None]
+    want = duckdb.sql("SELECT upper(t), lower(t) FROM (SELECT unnest($1) AS t, generate_subscripts($1, 1) AS i) ORDER BY i", params=[texts]).fetchall()
+    for start in range(0, len(texts), 300_000):
+        part = texts[start : start + 300_000]
+        assert list(zip(told(spark, part, E.upper), told(spark, part, E.lower), strict=True)) == want[start : start + 300_000]
+
+
+def test_case_in_queries_is_that_of_the_sql(spark, tmp_path):
+    """Letters whose capital the JVM writes as two, small raised letters, and an accented title word."""
+    each = ["Chß Chß Chß Chß Chß Chß Chß Chß Chß Chß Chß", "ßa, b", "ŉ ǰ ΐ word", "ﬁn ﬁn", "Capítulo ii.", "THE ﬁNE", "PART 3ª.", "Ⅳ.", "CAPÍTULO ii.", "ΟΔΟΣ ẞ", "İSTANBUL", "Straße ᾳ ᾼ."]
+    docs = [(i, "\n".join(each[(i + j) % len(each)] for j in range(len(each)))) for i in range(len(each))]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    pages = [(i, f"http://a/{i}", f"<title>{t}</title>") for i, t in enumerate([*each, *map(str.lower, each), *each])]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("heading_tests", "caps_lines", "shared_titles", "remembered_places"):
+        want = con.execute(ORACLE_SQL[name]).fetchall()
+        columns = [c[0] for c in con.description]
+        assert sorted(map(str, (tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select(columns).collect()))) == sorted(map(str, want)), name
