@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import lower
 from quire.operators.order import running
 
 SALTS = 32
@@ -40,14 +41,14 @@ def search(query: str, *columns: Column) -> Column:
 
 def title_key(t: Column) -> Column:
     """The list's sort key: lower case, no leading article."""
-    return F.regexp_replace(F.lower(F.trim(t)), "^(the|an|a) +", "")
+    return F.regexp_replace(lower(F.trim(t)), "^(the|an|a) +", "")
 
 
 def recency(books: DataFrame, reads: DataFrame) -> DataFrame:
-    """books (key, title, path) with t (last read, 0 for never) and pos: last read first, then title, then path."""
+    """books (key, title, path) with t (last read, 0 for never) and pos: last read first, then title, then path, missing ones last, then key."""
     t = F.coalesce("t", F.lit(0)).cast("long")
     x = books.join(reads.groupBy("key").agg(F.max("t").alias("t")), "key", "left").withColumn("t", t)
-    return running(x, [F.desc("t"), title_key(F.col("title")), F.col("path")]).drop("before", "whole")
+    return running(x, [F.desc("t"), title_key(F.col("title")).asc_nulls_last(), F.asc_nulls_last("path"), F.col("key")]).drop("before", "whole")
 
 
 def prune(entries: DataFrame, limit: int | Column) -> DataFrame:

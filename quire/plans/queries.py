@@ -140,7 +140,7 @@ b AS (SELECT page_id AS key, url AS path, trim({TITLE}) AS title FROM pages)
 SELECT b.key, coalesce(r.t, 0) AS t, row_number() OVER (ORDER BY coalesce(r.t, 0) DESC, regexp_replace(lower(trim(title)), '^(the|an|a) +', ''), path) AS pos FROM b LEFT JOIN r ON b.key = r.key""")
 def library_recency(spark, d):
     reads = read(spark, d, "events").groupBy(F.col("user_id").alias("key")).agg(F.max(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("t"))
-    books = read(spark, d, "pages").select(F.col("page_id").alias("key"), F.col("url").alias("path"), F.coalesce(H.page_title(F.col("html")), F.lit("")).alias("title"))
+    books = read(spark, d, "pages").select(F.col("page_id").alias("key"), F.col("url").alias("path"), F.when(F.col("html").isNotNull(), F.coalesce(H.page_title(F.col("html")), F.lit(""))).alias("title"))
     return C.recency(books, reads).select("key", "t", "pos")
 
 

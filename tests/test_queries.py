@@ -90,6 +90,21 @@ def test_running_sums_over_ranges(spark):
     assert O.running(x.where("id < 0"), [F.col("id")], F.col("id")).isEmpty()
 
 
+def test_recency_of_equal_and_missing_titles(spark, tmp_path):
+    """Books with the same title and path go by key; missing titles and paths come last, as in the SQL."""
+    same = spark.createDataFrame([(k, "p", "The T") for k in range(60, 0, -1)], "key long, path string, title string").coalesce(1)
+    never = spark.createDataFrame([], "key long, t long")
+    assert all(r["pos"] == r["key"] for r in C.recency(same, never).collect())
+    rows = [(1, None, "<title>b</title>"), (2, "u", None), (3, "v", "<title></title>"), (4, "u", "<title>B</title>"), (5, "u", "<title>The İb</title>"), (6, "w", "<title>ib</title>"), (7, "t", "<title>iz</title>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.read.parquet(f"{D}/events.parquet").where("user_id = 3").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    for name in ("pages", "events"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(ORACLE_SQL["library_recency"]).fetchall()
+    assert sorted(tuple(r) for r in QUERIES["library_recency"](spark, str(tmp_path)).select("key", "t", "pos").collect()) == sorted(want)
+
+
 def test_reach_along_chains_and_branches(spark, monkeypatch):
     """A chain of 300 places takes the logarithm of its length in tables; hops are the least, whatever jumps found first."""
     tables, write = [], O.written
