@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
@@ -26,6 +28,31 @@ def clean(t: Column) -> Column:
     return F.translate(t, SPACES + DROPPED, " " * len(SPACES))
 
 
+#: Characters of texts that are Python objects at a time, and bytes of a batch where the session leaves Spark's default.
+SLICE, BATCH = 1 << 20, 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, its session with Arrow batches of BATCH bytes if it has Spark's default: the JVM and the worker each hold some."""
+    key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    if spark.conf.get(key) == f"{64 << 20}b":
+        spark.conf.set(key, f"{BATCH}b")
+    return df
+
+
+def sliced(one: Callable, kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """one(...) of each row, whose values are made Arrow again after SLICE characters of the first column, so a batch is never Python objects as a whole."""
+    parts, held, size = [], [], 0
+    for row in zip(*columns, strict=True):
+        row = [x.as_py() for x in row]
+        held.append(one(*row))
+        size += len(row[0] or "")
+        if size >= SLICE:
+            parts.append(pa.array(held, kind))
+            held, size = [], 0
+    return pa.concat_arrays([*parts, pa.array(held, kind)])
+
+
 @cache
 def _pairs(capitals: bool) -> tuple[str, str]:
     """Letters with another form that is one character, and those forms."""

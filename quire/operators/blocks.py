@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import split as X
 from quire.functions import titles as T
+from quire.functions.text import small_batches
 
 WORDS = ("p", "h", "li")
 MIN_ENTRIES = 3
@@ -22,7 +23,7 @@ def cut_long(blocks: DataFrame) -> DataFrame:
     A heading too long for one is a paragraph. Later pieces of a list item have an empty marker.
     """
     kind = F.when((F.col("k") == "h") & (F.length(F.regexp_replace("t", "&#?[a-z0-9]+;", "x")) > X.TEXT), "p").otherwise(F.col("k"))
-    x = blocks.withColumn("k", kind).withColumn("f", F.coalesce("f", F.lit(0)))
+    x = small_batches(blocks).withColumn("k", kind).withColumn("f", F.coalesce("f", F.lit(0)))
     # only what is too long goes through Python
     short = F.length("t") <= F.when(F.col("k") == "pre", X.PRE).otherwise(X.TEXT)
     kept = x.where(F.coalesce(short, F.lit(False)) | ~F.col("k").isin(*WORDS, "pre")).withColumn("i", F.lit(0))
