@@ -139,4 +139,4 @@ def table_parts(spark, d):
 
 @query()
 def capital_words(spark, d):
-    return lines(spark, d).select("key", "b", T.capitalised(F.col("t")).alias("t"))
+    return S.small_batches(lines(spark, d)).select("key", "b", T.capitalised(F.col("t")).alias("t"))

@@ -3,6 +3,7 @@
 import re
 
 import duckdb
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -106,6 +107,22 @@ def test_found_contents_and_table_parts(spark):
     assert got == [[(60, 60), (60, 1), (10, 0)], []]
 
 
+def test_texts_become_objects_in_slices(spark, monkeypatch):
+    """However large an Arrow batch, only about SLICE characters of it are Python objects before they are Arrow again; rows keep their order."""
+    made, array = [], E.pa.array
+    texts = ["it's " * 50, None, "", "y. " * 900] * 40
+    monkeypatch.setattr(E, "SLICE", 3000)
+    given = pa.array(texts), pa.array(["p"] * len(texts)), pa.array([0] * len(texts))
+    want = [[{"t": t, "f": f} for t, f in X.split_text(x, False)] if x is not None else [] for x in texts]
+    monkeypatch.setattr(E.pa, "array", lambda x, *kind: made.append(len(x)) or array(x, *kind))
+    assert X.pieces.func(*given).to_pylist() == want
+    assert T.capitalised.func(given[0]).to_pylist() == [x and x.replace("it", "It").replace("y", "Y") for x in texts]
+    assert max(made) <= 8 and sum(made) == 2 * len(texts)
+    assert T.capitalised.func(given[0][:0]).to_pylist() == []
+    K.cut_long(spark.createDataFrame([], "key int, b int, k string, t string, f int, m string"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == f"{E.BATCH}b"
+
+
 def test_letters_one_by_one(spark):
     """Capitals and small letters are those of the SQL, for every character and whatever stands beside it."""
     texts = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i <= 0xDFFF] + ["Straße", "ΟΔΟΣ Ǆ", "THE ﬁN", "plain", "", None]
